@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+KEYS = ("record_id", "parent_ord", "ord")
 OBJECTS = "record_id bigint, table_path string, parent_path string, obj_path string, ord int, fields map<string,string>"
 
 
@@ -133,7 +134,8 @@ def explode_nested(df: DataFrame, key: str) -> dict[str, DataFrame]:
 
     Each child row has ``record_id`` (the key of the record), ``parent_ord`` (the positions of
     the enclosing rows joined by ``.``), ``ord`` and the scalar members; struct members are
-    flattened with ``_`` between the names.
+    flattened with ``_`` between the names, and a member that clashes with a key column gets
+    ``_`` appended.
     """
     out: dict[str, DataFrame] = {}
 
@@ -143,7 +145,7 @@ def explode_nested(df: DataFrame, key: str) -> dict[str, DataFrame]:
             if isinstance(f.dataType, T.StructType):
                 cols += scalars(f.dataType, f"{at}`{f.name}`.", f"{name}{f.name}_")
             elif not (isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)):
-                cols.append(F.col(f"{at}`{f.name}`").alias(f"{name}{f.name}"))
+                cols.append(F.col(f"{at}`{f.name}`").alias(f"{name}{f.name}" + "_" * (f"{name}{f.name}" in KEYS)))
         return cols
 
     def arrays(schema: T.StructType, at: str, name: str = "") -> list[tuple[str, str, T.StructType]]:
@@ -159,12 +161,8 @@ def explode_nested(df: DataFrame, key: str) -> dict[str, DataFrame]:
         for column, name, element in arrays(schema, at):
             full = f"{path}.{name}" if path else name
             child = rows.select("record_id", F.concat_ws(".", F.when(F.col("parent_ord") != "", F.col("parent_ord")), F.col("ord").cast("string")).alias("parent_ord"), F.posexplode(column).alias("ord", "row"))
-            own = {"record_id", "parent_ord", "ord"}
-            members = scalars(element, "row.")
-            names = [m._jc.toString() for m in members]
-            del names
             child_rows = child.filter("row is not null")
-            out[full] = child_rows.select("record_id", "parent_ord", "ord", *[m for m in members]) if not own & {f.name for f in element} else child_rows.select("record_id", "parent_ord", "ord", F.col("row").alias("member"))
+            out[full] = child_rows.select("record_id", "parent_ord", "ord", *scalars(element, "row."))
             descend(child_rows, element, "row.", full)
 
     base = df.select(F.col(key).alias("record_id"), F.lit("").alias("parent_ord"), F.lit(None).cast("int").alias("ord"), F.struct(*df.columns).alias("row"))

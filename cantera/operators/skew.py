@@ -41,7 +41,6 @@ def key_percentiles(weighted: DataFrame, fractions: list[float]) -> DataFrame:
     tasks; totals per key and partition are prefix-summed and added to the running sums
     within each partition.
     """
-    spark = weighted.sparkSession
     ranged = weighted.filter("item is not null").repartitionByRange("key_value", "item").withColumn("part", F.spark_partition_id())
     ranged = cut(ranged)
     totals = ranged.groupBy("key_value", "part").agg(F.sum("n").alias("part_n"))
@@ -49,8 +48,6 @@ def key_percentiles(weighted: DataFrame, fractions: list[float]) -> DataFrame:
     before = totals.select("key_value", "part", (F.sum("part_n").over(every.orderBy("part")) - F.col("part_n")).alias("before"), F.sum("part_n").over(every).alias("total"))
     run = Window.partitionBy("key_value", "part").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
     upto = ranged.withColumn("run", F.sum("n").over(run)).join(before, ["key_value", "part"]).withColumn("upto", F.col("run") + F.col("before"))
-    wanted = spark.createDataFrame([(float(f),) for f in fractions], "fraction double")
     picked = upto.select("key_value", "item", "n", "upto", "total", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
     rank = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("fraction") * F.col("total")))
-    del wanted
     return picked.filter((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select("key_value", "fraction", "item")
