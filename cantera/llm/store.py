@@ -1,0 +1,34 @@
+"""Intermediate tables in the shared folder, removed when the driver ends."""
+
+from __future__ import annotations
+
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import shared_dir
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001, S112 - the session may be gone
+            continue
+
+
+atexit.register(_clean)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows written once as parquet and read back (with sizes the planner knows)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
