@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import charforms, copies, leakage, splits, tokens
+from . import charforms, copies, encodings, leakage, splits, tokens
 
 RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -28,6 +28,22 @@ def p3_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copy_sets(table(spark, folder, "items"), "item_id", "resumen", "texto").withColumnRenamed("record_id", "item_id")
 
 
+def _values(spark: SparkSession, folder: str) -> DataFrame:
+    """``field, row_id, value``: the texts that problem 6 names, each table read once."""
+    pair = lambda field, column: F.struct(F.lit(field).alias("field"), F.col(column).alias("value"))
+    items = table(spark, folder, "items").select(F.col("item_id").alias("row_id"), F.explode(F.array(pair("items.texto", "texto"), pair("items.resumen", "resumen"))).alias("x"))
+    concepts = table(spark, folder, "concepts").select(F.lit("concepts.summary").alias("field"), F.col("line_no").alias("row_id"), F.col("summary").alias("value"))
+    return items.select("x.field", "row_id", "x.value").unionByName(concepts).filter("value is not null")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encodings.misread(_values(spark, folder), ["field", "row_id"], "value", restore=False).select("field", "row_id")
+
+
+def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encodings.misread(_values(spark, folder), ["field", "row_id"], "value")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("record_id", "doc_id")
 
@@ -54,7 +70,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return charforms.normalized(table(spark, folder, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_collapsed, p8_ids, p9_found, p9_near, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_collapsed, p6_found, p6_restored, p8_ids, p9_found, p9_near, p10_found, p10_forms)}
 
 _CANON = r"array_to_string(list_transform(list_filter(range(1, length({s}) + 1), lambda i: regexp_matches(substr({s}, i, 1), '[\p{{L}}\p{{M}}\p{{N}}]') OR (NOT regexp_matches(substr({s}, i, 1), '[\s\p{{Z}}_]') AND i > 1 AND substr({s}, i - 1, 1) BETWEEN '0' AND '9' AND substr({s}, i + 1, 1) BETWEEN '0' AND '9')), lambda i: substr({s}, i, 1)), '')"
 
