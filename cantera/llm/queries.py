@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import charforms, copies, encodings, leakage, splits, tokens
+from . import charforms, copies, encodings, leakage, residue, splits, tokens
 
 RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -44,6 +44,23 @@ def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encodings.misread(_values(spark, folder), ["field", "row_id"], "value")
 
 
+def _residue(spark: SparkSession, folder: str) -> DataFrame:
+    pair = lambda column: F.struct(F.lit(column).alias("field"), F.col(column).alias("value"))
+    values = table(spark, folder, "items").select("item_id", F.explode(F.array(pair("resumen"), pair("texto"))).alias("x")).select("item_id", "x.field", "x.value").filter("value is not null")
+    # 40 shared families at every scale: the field names that placeholders mention
+    names = sorted(r[0] for r in table(spark, folder, "families").select(F.explode("params.name")).distinct().collect() if r[0])
+    return residue.residue(values, ["item_id", "field"], "value", names)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _residue(spark, folder).select("item_id", "field")
+
+
+def p7_excluded(spark: SparkSession, folder: str) -> DataFrame:
+    """The values to drop whole: residue covers half of them or more."""
+    return _residue(spark, folder).filter("coverage >= 0.5").select("item_id", "field", "kind")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("record_id", "doc_id")
 
@@ -70,7 +87,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return charforms.normalized(table(spark, folder, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_collapsed, p6_found, p6_restored, p8_ids, p9_found, p9_near, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_collapsed, p6_found, p6_restored, p7_found, p7_excluded, p8_ids, p9_found, p9_near, p10_found, p10_forms)}
 
 _CANON = r"array_to_string(list_transform(list_filter(range(1, length({s}) + 1), lambda i: regexp_matches(substr({s}, i, 1), '[\p{{L}}\p{{M}}\p{{N}}]') OR (NOT regexp_matches(substr({s}, i, 1), '[\s\p{{Z}}_]') AND i > 1 AND substr({s}, i - 1, 1) BETWEEN '0' AND '9' AND substr({s}, i + 1, 1) BETWEEN '0' AND '9')), lambda i: substr({s}, i, 1)), '')"
 
