@@ -441,3 +441,15 @@ def q36_price_join_miss_warnings(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").join(known, F.col("l_partkey") == F.col("p_partkey"), "left")
     warning = F.when(F.col("p_partkey").isNull(), F.concat(F.lit("unknown concept P"), "l_partkey"))
     return rows.select("l_orderkey", "l_linenumber", F.coalesce("p_retailprice", F.lit(0.0)).alias("price"), warning.alias("warning"))
+
+
+def q37_parametric_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Parse, expand, evaluate and price the package's own catalogue, invalid items included."""
+    from ..sources.records import Catalog
+    from . import garden, items
+
+    found = items.items(Catalog.from_text(spark, garden.TEXT), include_invalid=True)
+    return found.select("code", "family", "valid", "error", "resumen", "texto", "direct_cost", "price", F.to_json("decomposition").alias("decomposition"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+QUERIES["q37_parametric_catalogue"] = q37_parametric_catalogue
