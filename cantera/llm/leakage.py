@@ -23,6 +23,8 @@ from .store import stored
 
 #: The most words of passages that the driver takes (a held-out set, not a corpus).
 MOST_WORDS = 2_000_000
+#: So many candidate documents are broadcast to thin out the index (8 MB); more are joined.
+FEW_HOLDERS = 1_000_000
 
 
 def passage_terms(passages: DataFrame, passage_id: str, text: str) -> dict[int, list[str]]:
@@ -65,24 +67,35 @@ def postings(df: DataFrame, record_id: str, text: str, terms: dict[str, int]) ->
     return df.select(F.col(record_id).cast("bigint"), F.col(text)).mapInArrow(run, "term int, doc_id bigint, positions array<int>")
 
 
-def anchors(passages: dict[int, list[int]], frequency: dict[int, int], run: int) -> list[tuple[int, int, int]]:
-    """``(term, passage, place)``: the rarest term of every window of ``run`` words."""
+def anchors(passages: dict[int, list[int]], frequency: dict[int, int], run: int) -> list[tuple]:
+    """``(passage, term1, place1, ... term3, place3)``: the three rarest words of every window
+    of ``run`` words, rarest first (repeated where a window has fewer words)."""
     out = set()
     for passage, terms in passages.items():
         n = min(run, len(terms))
         for start in range(len(terms) - n + 1):
             if all(frequency.get(t) for t in terms[start : start + n]):
-                place = min(range(start, start + n), key=lambda p: (frequency[terms[p]], p))
-                out.add((terms[place], passage, place))
+                places = sorted(range(start, start + n), key=lambda p: (frequency[terms[p]], p))[:3]
+                places += places[:1] * (3 - len(places))
+                out.add((passage, *(x for p in places for x in (terms[p], p))))
     return sorted(out)
 
 
+def _agreeing(found: DataFrame, index: DataFrame, k: int, terms: set[int]) -> DataFrame:
+    """The candidates whose k-th rarest word stands at its offset."""
+    term, place = f"term{k}", f"place{k}"
+    some = index.join(F.broadcast(index.sparkSession.createDataFrame([(t,) for t in sorted(terms)], "term int")), "term", "left_semi")
+    joined = found.join(some.withColumnRenamed("term", term), ["doc_id", term])
+    return joined.filter(F.array_contains("positions", F.col("at") + F.col(place))).drop("positions")
+
+
 def matches(df: DataFrame, record_id: str, text: str, passages: DataFrame, passage_id: str, passage_text: str, run: int = 12, gap: int = 0) -> DataFrame:
     """``doc_id, passage_id, n_words``: the longest match of each leaked passage.
 
     A match is ``run`` consecutive words of the passage (all its words if it has fewer)
-    standing consecutively in the document; with ``gap`` up to that many words may differ
-    between two agreeing stretches (proximity).  Null and empty texts match nothing.
+    standing consecutively in the document.  With ``gap`` (proximity) up to that many words may
+    differ between two agreeing stretches; the three rarest words of some window must still
+    stand in place, since they find the candidates.  Null and empty texts match nothing.
     """
     spark = df.sparkSession
     spelled = passage_terms(passages, passage_id, passage_text)
@@ -90,11 +103,20 @@ def matches(df: DataFrame, record_id: str, text: str, passages: DataFrame, passa
     coded = {p: [terms[w] for w in found] for p, found in spelled.items()}
     index = stored(postings(df, record_id, text, terms), "postings")
     frequency = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.sum(F.size("positions")).alias("n")).toLocalIterator()}
-    picked = spark.createDataFrame(anchors(coded, frequency, run), "term int, passage_id bigint, place int")
+    windows = anchors(coded, frequency, run)
+    columns = "passage_id bigint, term1 int, place1 int, term2 int, place2 int, term3 int, place3 int"
+    picked = spark.createDataFrame(windows, columns)
     plan = [(p, t, k, min(run, len(found))) for p, found in coded.items() for k, t in enumerate(found)]
     wanted = spark.createDataFrame(plan, "passage_id bigint, term int, place int, need int")
-    # both tables are bounded by MOST_WORDS
-    starts = index.join(F.broadcast(picked), "term").select("doc_id", "passage_id", "place", F.explode("positions").alias("pos")).select("doc_id", "passage_id", (F.col("pos") - F.col("place")).alias("at")).distinct()
+    # these tables and the lists of terms are bounded by MOST_WORDS
+    first = index.join(F.broadcast(picked), F.col("term") == F.col("term1")).select("doc_id", *picked.columns, F.explode("positions").alias("pos"))
+    found = first.withColumn("at", F.col("pos") - F.col("place1"))
+    for k in (2, 3):
+        found = _agreeing(found, index, k, {w[2 * k - 1] for w in windows})
+    starts = stored(found.select("doc_id", "passage_id", "at").distinct(), "starts")
+    holders = starts.select("doc_id").distinct()
+    if holders.limit(FEW_HOLDERS + 1).count() <= FEW_HOLDERS:
+        index = index.join(F.broadcast(holders), "doc_id", "left_semi")
     expected = starts.join(F.broadcast(wanted), "passage_id").filter("at + place >= 0")
     agreed = expected.join(index, ["doc_id", "term"]).filter(F.array_contains("positions", F.col("at") + F.col("place"))).select("doc_id", "passage_id", "at", "place", "need")
     line = Window.partitionBy("doc_id", "passage_id", "at").orderBy("place")
