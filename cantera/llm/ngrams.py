@@ -54,6 +54,15 @@ def count(texts: Counter, order: int, rows: int = 20_000) -> tuple[np.ndarray, n
     return cells, table[cells]
 
 
+def characters(texts: Counter) -> Counter:
+    """How often each character stands in the weighted texts."""
+    out: Counter = Counter()
+    for text, n in texts.items():
+        for c in text:
+            out[c] += n
+    return out
+
+
 class Model:
     """Interpolated n-gram probabilities: each order is smoothed by the one below."""
 
@@ -61,6 +70,8 @@ class Model:
         self.table = np.zeros(CELLS, np.float64)
         self.table[cells] = counts
         self.order, self.strength, self.alphabet = order, strength, alphabet
+        #: characters that the counted text uses more than by accident, where that was counted
+        self.known: set[str] | None = None
 
     def log_probs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The log probability of each character (and of each text's end) and its text."""
@@ -70,12 +81,6 @@ class Model:
             p = (self.table[whole] + self.strength * p) / (np.maximum(self.table[context], self.table[whole]) + self.strength)
         return np.log(p), owner
 
-    def unigrams(self, characters: list[str]) -> np.ndarray:
-        """How often each character was counted (more where cells collide)."""
-        codes = np.frombuffer("".join(characters).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        whole, _ = _grams(codes, np.arange(len(codes)), 1)[0]
-        return self.table[whole]
-
     def total(self) -> float:
         """How many characters were counted."""
         _, context = _grams(np.zeros(1, np.uint64), np.zeros(1, np.int64), 1)[0]
