@@ -34,11 +34,13 @@ def q01_key_prefix_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 SELECT substr(i.code, 1, 1) AS chapter, any_value(h.summary) AS chapter_name, count(*) AS n_items
-FROM items i JOIN (SELECT code_key, summary FROM base_concepts WHERE code = code_key || '#') h ON h.code_key = substr(i.code, 1, 1)
+FROM items i JOIN (SELECT substr(code, 1, 1) AS c, arg_min(summary, code) AS summary FROM families WHERE code LIKE '%0$' GROUP BY 1) h ON h.c = substr(i.code, 1, 1)
 WHERE NOT (i.code LIKE '\\%%' ESCAPE '\\' OR i.code LIKE 'AU%' OR starts_with(i.code, 'R_A_I_Z')) GROUP BY 1
 """)
 def q02_chapter_split(spark: SparkSession, folder: str) -> DataFrame:
-    heads = table(spark, folder, "base_concepts").filter(F.col("code") == F.concat("code_key", F.lit("#"))).select(F.col("code_key").alias("chapter"), F.col("summary").alias("chapter_name"))
+    """Items by the first character of their code; chapters without a header row drop out
+    (header rows are the families whose number ends in 0)."""
+    heads = table(spark, folder, "families").filter(F.col("code").endswith("0$")).groupBy(F.substring("code", 1, 1).alias("chapter")).agg(F.min_by("summary", "code").alias("chapter_name"))
     items = table(spark, folder, "items").filter(~F.col("code").rlike("^(%|R_A_I_Z|AU)")).groupBy(F.substring("code", 1, 1).alias("chapter")).agg(F.count(F.lit(1)).alias("n_items"))
     return items.join(heads, "chapter").select("chapter", "chapter_name", "n_items")
 
