@@ -5,6 +5,9 @@ passage.  A passage leaks where enough consecutive words of it stand consecutive
 document: every window of that length has an anchor, its rarest term in the corpus, whose
 postings give the candidate offsets; the remaining terms' position lists, moved by that
 offset, confirm or refute each word, and runs of confirmed words decide.
+
+Proximity matches may differ in any word, rare ones too, so no single word can anchor them:
+``near_matches`` compares every equal pair of words of a document and the passages.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .store import stored
 MOST_WORDS = 2_000_000
 #: So many candidate documents are broadcast to thin out the index (8 MB); more are joined.
 FEW_HOLDERS = 1_000_000
+#: Documents are compared in stretches of this many words, in steps of so many pairs of equal words.
+STRETCH, PAIRS = 4096, 4_000_000
 
 
 def passage_terms(passages: DataFrame, passage_id: str, text: str) -> dict[int, list[str]]:
@@ -89,18 +94,125 @@ def _agreeing(found: DataFrame, index: DataFrame, k: int, terms: set[int]) -> Da
     return joined.filter(F.array_contains("positions", F.col("at") + F.col(place))).drop("positions")
 
 
+def _slices(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``first[k] .. first[k] + size[k] - 1`` of every k, one after the other."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class NearPassages:
+    """Coded passages beside each other, and the places of every term in them."""
+
+    def __init__(self, coded: dict[int, list[int]], n_terms: int, run: int, gap: int) -> None:
+        self.gap, self.ids = gap, list(coded)
+        self.length = np.array([len(c) for c in coded.values()], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.need = np.minimum(run, self.length)
+        self.code = np.concatenate([np.asarray(c, np.int64) for c in coded.values()])
+        self.owner = np.repeat(np.arange(len(coded)), self.length)
+        self.by_term = np.argsort(self.code, kind="stable")
+        self.n_places = np.bincount(self.code, minlength=n_terms)
+        self.first_place = np.cumsum(self.n_places) - self.n_places
+
+    def _chains(self, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the chains of places (in order within a group) with gaps of at most ``gap``
+        words, and the number of each place's chain."""
+        new = np.ones(len(place), bool)
+        new[1:] = (np.diff(group) != 0) | (np.diff(place) > self.gap + 1)
+        chain = np.cumsum(new) - 1
+        return np.bincount(chain), chain
+
+    def longest(self, doc: np.ndarray) -> dict[int, int]:
+        """The longest match of each passage that the coded document (-1: other words) holds."""
+        out: dict[int, int] = {}
+        step = max(STRETCH, int(self.length.max()))
+        for at in range(0, max(1, len(doc) - int(self.length.max()) + 1), step):
+            # a match spans at most the longest passage, so it lies within some stretch
+            for k, n in self._stretch(doc[at : at + step + int(self.length.max())]):
+                out[k] = max(n, out.get(k, 0))
+        return out
+
+    def _stretch(self, doc: np.ndarray) -> Iterator[tuple[int, int]]:
+        where = np.flatnonzero(doc >= 0)
+        where = where[np.argsort(doc[where], kind="stable")]
+        terms, first, n = np.unique(doc[where], return_index=True, return_counts=True)
+        if not len(terms):
+            return
+        # places whose word the document holds at all; a match needs a long enough chain of them
+        size = self.n_places[terms]
+        place = self.by_term[_slices(self.first_place[terms], size)]
+        first, n = np.repeat(first, size), np.repeat(n, size)
+        order = np.argsort(place)
+        place, first, n = place[order], first[order], n[order]
+        sizes, chain = self._chains(self.owner[place], place)
+        kept = sizes[chain] >= self.need[self.owner[place]]
+        place, first, n = place[kept], first[kept], n[kept]
+        if not len(place):
+            return
+        passages, at = np.unique(self.owner[place], return_index=True)
+        widths = len(doc) + self.length[passages] - 1
+        step = (np.cumsum(np.add.reduceat(n, at) + widths) - 1) // PAIRS
+        cuts = np.flatnonzero(np.diff(step)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(passages)]):
+            part = slice(at[a], at[b] if b < len(passages) else None)
+            yield from self._offsets(where, passages[a:b], widths[a:b], place[part], first[part], n[part])
+
+    def _offsets(self, where: np.ndarray, passages: np.ndarray, widths: np.ndarray, place: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Matches among all pairs of a place and a position of the same word."""
+        pos, place = where[_slices(first, n)], np.repeat(place, n)
+        k = np.searchsorted(passages, self.owner[place])
+        # one number for each passage and offset
+        line = (np.cumsum(widths) - widths)[k] + pos - (place - self.start[passages][k]) + self.length[passages][k] - 1
+        need = self.need[passages][k]
+        kept = np.bincount(line)[line] >= need
+        line, place, need, k = line[kept], place[kept], need[kept], k[kept]
+        order = np.argsort(line, kind="stable")
+        line, place, need, k = line[order], place[order], need[order], k[order]
+        if len(line):
+            sizes, chain = self._chains(line, place)
+            for j in np.flatnonzero(sizes[chain] >= need):
+                yield self.ids[passages[k[j]]], int(sizes[chain[j]])
+
+
+def near_matches(df: DataFrame, record_id: str, text: str, coded: dict[int, list[int]], terms: dict[str, int], run: int, gap: int) -> DataFrame:
+    """``doc_id, passage_id, n_words`` with gaps, in one pass over the documents.
+
+    No candidates are picked: offsets with fewer equal words than a match needs are the only
+    ones dropped before the chains of equal words are counted.
+    """
+    spark = df.sparkSession
+    if not coded:
+        return spark.createDataFrame([], "doc_id bigint, passage_id bigint, n_words bigint")
+    shared = spark.sparkContext.broadcast((terms, coded))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0].get
+        passages = NearPassages(shared.value[1], len(shared.value[0]), run, gap)
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t:
+                    doc = np.fromiter((known(w, -1) for w in words(t)), np.int64)
+                    rows += [(i, p, n) for p, n in passages.longest(doc).items()]
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "passage_id", "n_words"])
+
+    return df.select(F.col(record_id).cast("bigint"), F.col(text)).mapInArrow(search, "doc_id bigint, passage_id bigint, n_words bigint")
+
+
 def matches(df: DataFrame, record_id: str, text: str, passages: DataFrame, passage_id: str, passage_text: str, run: int = 12, gap: int = 0) -> DataFrame:
     """``doc_id, passage_id, n_words``: the longest match of each leaked passage.
 
     A match is ``run`` consecutive words of the passage (all its words if it has fewer)
     standing consecutively in the document.  With ``gap`` (proximity) up to that many words may
-    differ between two agreeing stretches; the three rarest words of some window must still
-    stand in place, since they find the candidates.  Null and empty texts match nothing.
+    differ between two agreeing stretches, whichever words they are; ``n_words`` counts the
+    agreeing ones.  Null and empty texts match nothing.
     """
     spark = df.sparkSession
     spelled = passage_terms(passages, passage_id, passage_text)
     terms = {w: k for k, w in enumerate(sorted({w for found in spelled.values() for w in found}))}
     coded = {p: [terms[w] for w in found] for p, found in spelled.items()}
+    if gap:
+        return near_matches(df, record_id, text, coded, terms, run, gap)
     index = stored(postings(df, record_id, text, terms), "postings")
     frequency = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.sum(F.size("positions")).alias("n")).toLocalIterator()}
     windows = anchors(coded, frequency, run)
@@ -120,6 +232,6 @@ def matches(df: DataFrame, record_id: str, text: str, passages: DataFrame, passa
     expected = starts.join(F.broadcast(wanted), "passage_id").filter("at + place >= 0")
     agreed = expected.join(index, ["doc_id", "term"]).filter(F.array_contains("positions", F.col("at") + F.col("place"))).select("doc_id", "passage_id", "at", "place", "need")
     line = Window.partitionBy("doc_id", "passage_id", "at").orderBy("place")
-    parted = agreed.withColumn("cut", F.when(F.col("place") - F.lag("place").over(line) <= gap + 1, 0).otherwise(1)).withColumn("stretch", F.sum("cut").over(line))
+    parted = agreed.withColumn("cut", F.when(F.col("place") - F.lag("place").over(line) == 1, 0).otherwise(1)).withColumn("stretch", F.sum("cut").over(line))
     runs = parted.groupBy("doc_id", "passage_id", "at", "stretch").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
     return runs.groupBy("doc_id", "passage_id").agg(F.max("n").alias("n_words"))

@@ -62,6 +62,50 @@ def test_leaks_match_brute_force(spark, rows):
     assert leakage.matches(d, "doc_id", "text", p.filter("false"), "passage_id", "text").collect() == []
 
 
+def near(docs, passages, run, gap):
+    out = {}
+    for d, t in docs:
+        w = charforms.words(t) if t else []
+        for p, s in passages:
+            q = charforms.words(s) if s else []
+            for at in range(-len(q) + 1, len(w)):
+                n, last = 0, None
+                for k in range(max(0, -at), min(len(q), len(w) - at)):
+                    if w[at + k] == q[k]:
+                        n = n + 1 if last is not None and k - last <= gap + 1 else 1
+                        last = k
+                        if n >= min(run, len(q)):
+                            out[d, p] = max(n, out.get((d, p), 0))
+    return sorted(((*k, n) for k, n in out.items()), key=repr)
+
+
+def test_near_matches_equal_brute_force(spark, rows, monkeypatch):
+    rnd = random.Random(9)
+    word = lambda: rnd.choice(["de", "la", "el", "zanja", "obra", "muro", "cal", "río", "sol", "mar"])
+    passages = [(k, " ".join(word() for _ in range(rnd.randint(1, 40)))) for k in range(12)] + [(50, ""), (51, None), (52, "único")]
+    passages += [(60, " ".join(f"rara{k}" for k in range(36)))]  # every word is rare, most occur nowhere else
+    docs = []
+    for k in range(60):
+        body = rnd.choice(passages[:12])[1].split()[rnd.randint(0, 3) :]
+        docs.append((k, " ".join([word() for _ in range(rnd.randint(0, 30))] + [word() if rnd.random() < 0.2 else w for w in body])))
+    third = [f"rara{k}" if k % 3 == 0 else "otra" for k in range(36)]  # twelve words, two differing between each
+    docs += [(900, None), (901, ""), (902, "ÚNICO"), (903, " ".join(third)), (904, " ".join(third[:33])), (905, "de " * 300 + " ".join(third))]
+    docs += [(906, " ".join("otra" if k == 5 else f"rara{k}" for k in range(14))), (907, " ".join("otra" if 9 < k < 13 else f"rara{k}" for k in range(20)))]
+    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, term int")
+    p = spark.createDataFrame([(*x, 1) for x in passages], "passage_id bigint, text string, at int")
+    want = near(docs, passages, 12, 2)
+    assert {(903, 60, 12), (905, 60, 12), (906, 60, 13)} <= set(want) and not {(904, 60), (907, 60)} & {x[:2] for x in want}
+    assert rows(leakage.matches(d, "doc_id", "text", p, "passage_id", "text", gap=2)) == want
+    assert leakage.matches(d, "doc_id", "text", p.filter("false"), "passage_id", "text", gap=2).collect() == []
+    # stretches and steps far smaller than the documents give the same
+    monkeypatch.setattr(leakage, "STRETCH", 16)
+    monkeypatch.setattr(leakage, "PAIRS", 100)
+    terms = {w: k for k, w in enumerate(sorted({w for _, t in passages if t for w in charforms.words(t)}))}
+    held = leakage.NearPassages({i: [terms[w] for w in charforms.words(t)] for i, t in passages if t}, len(terms), 12, 2)
+    code = lambda t: leakage.np.array([terms.get(w, -1) for w in charforms.words(t)], "int64")
+    assert sorted(((i, *x) for i, t in docs if t for x in held.longest(code(t)).items()), key=repr) == want
+
+
 def test_forms_that_look_alike():
     same = ["Fijación 3 de", "Fijación 3 de", "Ｆｉjación 3 de", "ﬁ".join(["", ""]) and "Fijаción 3 de", "Fija​ción 3 de", "Fija­ción 3 dе"]
     assert len({charforms.visual_form(x) for x in same}) == 1
