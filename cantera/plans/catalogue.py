@@ -94,6 +94,8 @@ SELECT family, (i - 1) * len(b) * len(c) + (j - 1) * len(c) + k - 1 AS ordinal,
 FROM f, generate_series(1, 62) x(i), generate_series(1, 62) y(j), generate_series(1, 62) z(k) WHERE i <= len(a) AND j <= len(b) AND k <= len(c)
 """)
 def q07_combination_expand(spark: SparkSession, folder: str) -> DataFrame:
+    """The first three parameters only, as its SQL has it; no complete codes where a family has
+    more (``q07_family_expand`` has them all)."""
     families = table(spark, folder, "families").select(F.col("code").alias("family"), F.slice("params", 1, 3).alias("params"))
     sized = families.withColumn("counts", F.transform("params", lambda p: F.size(p["options"])))
     rows = expand.combinations(sized, "counts")
@@ -101,6 +103,14 @@ def q07_combination_expand(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("family", "ordinal", expand.derived_code(F.col("family"), F.col("selection")).alias("derived_code"), labels.alias("labels"))
 
 
+def q07_family_expand(spark: SparkSession, folder: str) -> DataFrame:
+    """Every combination of all parameters of every family (671 million rows, so no SQL)."""
+    return expand.coded_combinations(table(spark, folder, "families"), "code", "params")
+
+
+QUERIES["q07_family_expand"] = q07_family_expand
+
+
 @query(f"""
 WITH c AS (SELECT DISTINCT code FROM items WHERE code IS NOT NULL), s AS (SELECT DISTINCT code AS family, rtrim(code, '$') AS stem FROM families)
 SELECT c.code, s.family, len(c.code) - len(s.stem) AS n_letters, instr('{_ALPHABET}', substr(c.code, len(s.stem) + 1, 1)) AS first_option

@@ -9,6 +9,8 @@ from ..functions.text import family_stem, option_letter, option_number
 
 #: Rows of one generated block; a family of any number of combinations spreads over blocks.
 BLOCK = 4096
+#: So many leading selections of ``coded_combinations`` make one row of work.
+LEADS = 256
 
 
 def combinations(df: DataFrame, counts: str) -> DataFrame:
@@ -27,6 +29,40 @@ def combinations(df: DataFrame, counts: str) -> DataFrame:
     return rows.withColumn("selection", F.when(F.size(counts) > 0, step).otherwise(none)).drop("_n", "_block")
 
 
+def coded_combinations(families: DataFrame, family: str, params: str) -> DataFrame:
+    """``family, ordinal, derived_code, labels`` of every combination of all parameters.
+
+    ``params`` is an array of structs with ``options``; order and ordinals are those of
+    ``combinations``, labels are joined by ``|``.  The last parameters, as many as have at most
+    4,096 selections together, are spelled once per row of work; each leading selection then
+    costs two concatenations a combination, without a shuffle of what comes out.
+    """
+    given = F.coalesce(F.col(params), F.array().cast(families.schema[params].dataType))
+    sized = families.select(F.col(family).alias("family"), given.alias("params")).withColumn("counts", F.transform("params", lambda p: F.size(p["options"])))
+    start = "named_struct('n', 1L, 'k', 0, 'open', true)"
+    step = f"if(a.open and a.n * x <= {BLOCK}, named_struct('n', a.n * x, 'k', a.k + 1, 'open', true), named_struct('n', a.n, 'k', a.k, 'open', false))"
+    some = sized.filter(~F.exists("counts", lambda x: x < 1)).withColumn("last", F.expr(f"aggregate(reverse(counts), {start}, (a, x) -> {step})"))
+    parted = some.withColumn("n_lead", F.expr("aggregate(slice(counts, 1, size(counts) - last.k), 1L, (a, x) -> a * x)"))
+    work = parted.withColumn("block", F.explode(F.expr(f"sequence(0L, (n_lead - 1) div {LEADS})"))).repartition("block", "family")
+
+    def spelled(option: Column, number: Column) -> Column:
+        return F.struct(F.coalesce(option_letter(number), F.lit("")).alias("letters"), F.coalesce(F.concat(F.lit("|"), option), F.lit("")).alias("labels"))
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.struct(F.concat(a["letters"], b["letters"]).alias("letters"), F.concat(a["labels"], b["labels"]).alias("labels"))
+
+    none = F.struct(F.lit("").alias("letters"), F.lit("").alias("labels"))
+    own = F.transform("params", lambda p: F.transform(p["options"], lambda o, i: spelled(o, i + 1)))
+    work = work.select("family", "block", "counts", "last", "n_lead", own.alias("own"))
+    tails = F.aggregate(F.expr("slice(own, size(own) - last.k + 1, last.k)"), F.array(none), lambda a, p: F.flatten(F.transform(a, lambda x: F.transform(p, lambda y: joined(x, y)))))
+    work = work.withColumn("tails", tails).withColumn("lead", F.explode(F.expr(f"sequence(block * {LEADS}L, least(n_lead, (block + 1) * {LEADS}L) - 1)")))
+    digit = "own[i][cast((lead div aggregate(slice(counts, i + 2, size(counts) - last.k - i - 1), 1L, (a, x) -> a * x)) % counts[i] as int)]"
+    chosen = F.expr(f"transform(filter(sequence(0, size(counts)), i -> i < size(counts) - last.k), i -> {digit})")
+    head = work.select("family", "lead", F.col("last.n").alias("n"), "tails", F.aggregate(chosen, none, joined).alias("head"))
+    rows = head.select("family", "lead", "n", F.concat(family_stem(F.col("family")), "head.letters").alias("code"), F.col("head.labels").alias("labels"), F.posexplode("tails").alias("at", "tail"))
+    return rows.select("family", (F.col("lead") * F.col("n") + F.col("at")).alias("ordinal"), F.concat("code", "tail.letters").alias("derived_code"), F.substring(F.concat("labels", "tail.labels"), 2, 1 << 30).alias("labels"))
+
+
 def derived_code(family: Column, selection: Column) -> Column:
     """The family's stem and a letter per selected option."""
     return F.concat(family_stem(family), F.array_join(F.transform(selection, option_letter), ""))

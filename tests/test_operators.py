@@ -1,7 +1,10 @@
+import itertools
+
 import pytest
 
 from cantera.functions import text as X
 from cantera.operators import dedupe, metrics, reconcile, retrieval
+from cantera.plans import catalogue, expand
 from pyspark.sql import functions as F
 
 
@@ -54,3 +57,19 @@ def test_numbers_and_texts(spark):
     assert [r["t"] for r in df.collect()][:3] == ["2", "0.16", "0"]
     letters = spark.range(1, 63).select(X.option_number(X.option_letter(F.col("id"))).alias("k"), "id").collect()
     assert all(r["k"] == r["id"] for r in letters)
+
+
+def test_families_expand_over_all_parameters(spark, rows, monkeypatch, tmp_path):
+    sizes = {"AAA1$": [2, 3, 1, 4, 2], "AAA2$": [3], "AAA3$": [], "AAA4$": [2, 0, 2], "AAA5$": [7, 2], "AAA6$": [1, 1, 5, 3]}
+    options = {f: [[f"{f}{i}_{k}" for k in range(n)] for i, n in enumerate(s)] for f, s in sizes.items()}
+    kind = "code string, params array<struct<var:string,name:string,options:array<string>>>"
+    df = spark.createDataFrame([(f, [("v", "n", o) for o in os]) for f, os in options.items()] + [("AAA7$", None)], kind)
+    df.write.parquet(str(tmp_path / "families.parquet"))
+    want = [("AAA7$", 0, "AAA7", "")]
+    for f, os in options.items():
+        for n, picked in enumerate(itertools.product(*map(enumerate, os))):
+            want.append((f, n, f[:-1] + "".join(X.LETTERS[k] for k, _ in picked), "|".join(o for _, o in picked)))
+    for block, leads in ((4096, 256), (6, 2), (1, 1)):
+        monkeypatch.setattr(expand, "BLOCK", block)
+        monkeypatch.setattr(expand, "LEADS", leads)
+        assert rows(catalogue.QUERIES["q07_family_expand"](spark, str(tmp_path))) == sorted(want, key=repr)
