@@ -115,7 +115,8 @@ def merged_schema(objects: DataFrame) -> DataFrame:
 
 def child_table(objects: DataFrame, table_path: str, schema: list[tuple[str, str]]) -> DataFrame:
     """The typed flat table of one object path: ``record_id, parent_path, obj_path, ord`` and
-    the members ``(field, kind)``; a member that clashes with a key column gets ``_`` appended.
+    the members ``(field, kind)``; a member that clashes with a key column, or with another
+    member but for case, gets ``_`` appended.
     """
     own = {"record_id", "parent_path", "obj_path", "ord"}
     typed = []
@@ -125,10 +126,26 @@ def child_table(objects: DataFrame, table_path: str, schema: list[tuple[str, str
             value = F.regexp_replace(value, ",", ".").try_cast(kind)
         elif kind == "boolean":
             value = value.try_cast("boolean")
-        typed.append(value.alias(f"{field}_" if field in own else field))
+        name = field
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        typed.append(value.alias(name))
     return objects.filter(F.col("table_path") == table_path).select("record_id", "parent_path", "obj_path", "ord", *typed)
 
 
+def child_tables(objects: DataFrame) -> dict[str, DataFrame]:
+    """The typed flat table of every object path, driven by the merged schema: all members at
+    the path in order of their names; a path whose objects have no members has the keys only.
+
+    Only the paths and the merged schema come to the driver.
+    """
+    fields = {r[0]: [] for r in objects.select("table_path").distinct().toLocalIterator()}
+    for r in merged_schema(objects).orderBy("table_path", "field").toLocalIterator():
+        fields[r["table_path"]].append((r["field"], r["kind"]))
+    return {path: child_table(objects, path, schema) for path, schema in fields.items()}
+
+
 def explode_nested(df: DataFrame, key: str) -> dict[str, DataFrame]:
     """Every array-of-struct level of a typed table as a child table, keyed by its path.
 

@@ -57,12 +57,61 @@ def p5_schema(spark: SparkSession, folder: str) -> DataFrame:
     return nested.merged_schema(nested.json_objects(table(spark, folder, "raw_items"), "raw_id", "payload"))
 
 
+#: The levels of ``raw_items.payload`` and their object paths, both shapes and every depth as one.
+_LEVELS = {
+    "records": r"^$",
+    "lines": r"^decomposition\[\](\.decomposition\[\])*$",
+    "parameters": r"^parameters(\[\]|\.[^.\[]+)$",
+    "values": r"^parameters(\[\]|\.[^.\[]+)\.values\[\]$",
+    "quotes": r"^(decomposition\[\]\.)+supplier_quotes\[\]$",
+    "steps": r"^(decomposition\[\]\.)+supplier_quotes\[\]\.steps\[\]$",
+}
+#: Whatever lies at other paths (aliases and their names, runs and tools, objects that only hold others).
+_OTHERS = "others"
+
+
+def _level(spark: SparkSession, folder: str, level: str) -> DataFrame:
+    """One level of the payloads as a typed table with all members of the merged schema."""
+    objects = nested.json_objects(table(spark, folder, "raw_items"), "raw_id", "payload")
+    named = F.lit(_OTHERS)
+    for name, paths in _LEVELS.items():
+        named = F.when(F.col("table_path").rlike(paths), name).otherwise(named)
+    own = objects.withColumn("table_path", named).filter(F.col("table_path") == level)
+    found = nested.child_tables(own).get(level)
+    if found is None:
+        found = nested.child_table(own, level, [])
+    return found.withColumnRenamed("record_id", "raw_id")
+
+
+def p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    return _level(spark, folder, "records")
+
+
 def p5_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The decomposition lines of every depth as one typed table with their parents."""
-    objects = nested.json_objects(table(spark, folder, "raw_items"), "raw_id", "payload")
-    fields = [("code", "string"), ("unit", "string"), ("summary", "string"), ("price", "double"), ("quantity", "double")]
-    lines = objects.filter(F.col("table_path").rlike(r"^decomposition\[\](\.decomposition\[\])*$")).withColumn("table_path", F.lit("lines"))
-    return nested.child_table(lines, "lines", fields).withColumnRenamed("record_id", "raw_id")
+    return _level(spark, folder, "lines")
+
+
+def p5_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    """Parameters of both shapes; those keyed by letter have the letter at the end of ``obj_path``."""
+    return _level(spark, folder, "parameters")
+
+
+def p5_values(spark: SparkSession, folder: str) -> DataFrame:
+    return _level(spark, folder, "values")
+
+
+def p5_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return _level(spark, folder, "quotes")
+
+
+def p5_steps(spark: SparkSession, folder: str) -> DataFrame:
+    return _level(spark, folder, "steps")
+
+
+def p5_others(spark: SparkSession, folder: str) -> DataFrame:
+    """The objects of all other paths; a member that an object lacks is null."""
+    return _level(spark, folder, _OTHERS)
 
 
 def p5_item_parameters(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +122,7 @@ def p5_item_lines(spark: SparkSession, folder: str) -> DataFrame:
     return nested.explode_nested(table(spark, folder, "items").select("item_id", "decomposition"), "item_id")["decomposition"].drop("parent_ord").withColumnRenamed("record_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_items, p4_found, p4_modes, p4_price_percentiles, p5_found, p5_schema, p5_lines, p5_item_parameters, p5_item_lines)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_items, p4_found, p4_modes, p4_price_percentiles, p5_found, p5_schema, p5_records, p5_lines, p5_parameters, p5_values, p5_quotes, p5_steps, p5_others, p5_item_parameters, p5_item_lines)}
 
 _LINKS = r"""
 WITH RECURSIVE raw AS (

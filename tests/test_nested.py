@@ -1,6 +1,8 @@
 import json
 
+import pyarrow.parquet as pq
 from cantera.operators import nested
+from cantera.plans import training
 
 
 def brute(v, path="", owner="", top=True):
@@ -48,3 +50,30 @@ def test_typed_columns(spark, rows):
     assert found["a"].columns == ["record_id", "parent_ord", "ord", "v", "ord_", "s_w"]
     assert rows(found["a"]) == [(1, "", 0, 7, "o", 8)]
     assert rows(found["a.b"]) == [(1, "0", 0, 9)]
+
+
+def test_every_path_has_a_table(spark, rows):
+    texts = ['{"l": [{"n": "1,5", "N": 1, "q": [{}, {"v": "x"}]}, {"n": 2, "type": null}], "e": {"in": {}}}', '{"l": [{"ok": true}], "top": 1}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "raw_id bigint, payload string")
+    found = nested.child_tables(nested.json_objects(df, "raw_id", "payload"))
+    assert {k: t.columns[4:] for k, t in found.items()} == {"": ["top"], "l[]": ["N", "n_", "ok", "type"], "l[].q[]": ["v"], "e": [], "e.in": []}
+    assert rows(found["l[]"]) == [(0, "", "l.0", 0, 1, 1.5, None, None), (0, "", "l.1", 1, None, 2.0, None, None), (1, "", "l.0", 0, None, None, True, None)]
+    assert rows(found["l[].q[]"]) == [(0, "l.0", "l.0.q.0", 0, None), (0, "l.0", "l.0.q.1", 1, "x")]
+    assert rows(found["e.in"]) == [(0, "e", "e.in", 0)]
+
+
+def test_levels_hold_every_object_and_member(spark, small, rows):
+    payloads = {r["raw_id"]: r["payload"] for r in pq.read_table(f"{small}/raw_items.parquet", columns=["raw_id", "payload"]).to_pylist()}
+    want = {(i, o, p): dict(f) for i, t in payloads.items() for s, o, p, _, f in nested._objects(t) if s}
+    seen = {}
+    for name in ("lines", "parameters", "values", "quotes", "steps", "others"):
+        for r in training.QUERIES[f"p5_{name}"](spark, small).collect():
+            x = r.asDict()
+            key = x.pop("raw_id"), x.pop("parent_path"), x.pop("obj_path")
+            assert key not in seen
+            seen[key] = {k: v for k, v in x.items() if k != "ord" and v is not None}
+    assert set(seen) == set(want) == {tuple(r) for r in rows(training.p5_found(spark, small))}
+    for key, members in want.items():
+        given = {k: v for k, v in members.items() if v is not None}
+        assert set(given) == set(seen[key])
+        assert all(v == seen[key][k] if isinstance(seen[key][k], str) else float(v.replace(",", ".")) == seen[key][k] for k, v in given.items())
