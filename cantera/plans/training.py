@@ -18,7 +18,8 @@ def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_items(spark: SparkSession, folder: str) -> DataFrame:
-    """How many items hang below each chapter by their own ``chapter_path``, directly or not.
+    """How many items hang below each chapter by their own ``chapter_path``, directly or not
+    (``p2_hanging`` also counts by ``parent_key``).
 
     Each item names its whole path, so the links are its neighbours; one item counts once for
     each of its chapters.
@@ -27,6 +28,33 @@ def p2_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.filter("node_key <> ''").groupBy("node_key").agg(F.count(F.lit(1)).alias("n_items"))
 
 
+def p2_item_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The node that each item's ``parent_key`` names, with its root, depth and path."""
+    items = table(spark, folder, "items").select("item_id", hierarchy.clean_key(F.col("parent_key")).alias("node_key"))
+    return p2_found(spark, folder).join(items, "node_key").select("item_id", "node_key", "root_key", "depth", "node_path")
+
+
+def p2_hanging(spark: SparkSession, folder: str) -> DataFrame:
+    """How many items hang at or below each node: by ``parent_key``, which may be any node of the
+    chapter trees and brings the nodes above it, and by ``chapter_path``; an item counts once
+    for each of its nodes.
+
+    Items of one parent and one path count as one group, so a common parent is one row.
+    """
+    links = hierarchy.chapter_links(table(spark, folder, "decompositions"))
+    paths = F.coalesce(F.transform("chapter_path", hierarchy.clean_key), F.array().cast("array<string>"))
+    keys = F.array_sort(F.array_distinct(F.filter(paths, lambda k: k != "")))
+    items = table(spark, folder, "items").select(hierarchy.clean_key(F.col("parent_key")).alias("at"), keys.alias("path"))
+    groups = cut(items.groupBy("at", "path").agg(F.count(F.lit(1)).alias("n")))
+    parents = hierarchy.parent_links(links, "parent", "child", "line_no")
+    itself = parents.select("node_key").union(parents.select("parent_key")).distinct().select(F.col("node_key").alias("at"), "node_key")
+    above = hierarchy.descendants(links).select(F.col("descendant_key").alias("at"), "node_key")
+    wanted = groups.select("at").distinct()
+    upward = itself.union(above).join(wanted, "at", "left_semi").groupBy("at").agg(F.collect_list("node_key").alias("upward"))
+    nodes = F.array_union("path", F.coalesce("upward", F.array().cast("array<string>")))
+    return groups.join(upward, "at", "left").select("n", F.explode(nodes).alias("node_key")).groupBy("node_key").agg(F.sum("n").alias("n_items"))
+
+
 def _weighted(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {
         "items": skew.compress(table(spark, folder, "items"), "family", "code"),
@@ -122,7 +150,7 @@ def p5_item_lines(spark: SparkSession, folder: str) -> DataFrame:
     return nested.explode_nested(table(spark, folder, "items").select("item_id", "decomposition"), "item_id")["decomposition"].drop("parent_ord").withColumnRenamed("record_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_items, p4_found, p4_modes, p4_price_percentiles, p5_found, p5_schema, p5_records, p5_lines, p5_parameters, p5_values, p5_quotes, p5_steps, p5_others, p5_item_parameters, p5_item_lines)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_items, p2_item_places, p2_hanging, p4_found, p4_modes, p4_price_percentiles, p5_found, p5_schema, p5_records, p5_lines, p5_parameters, p5_values, p5_quotes, p5_steps, p5_others, p5_item_parameters, p5_item_lines)}
 
 _LINKS = r"""
 WITH RECURSIVE raw AS (
@@ -210,3 +238,17 @@ SELECT item_id, p.ord::int AS ord, s['code'] AS code, s['unit'] AS unit, s['summ
 FROM (SELECT item_id, unnest(decomposition) AS s, generate_subscripts(decomposition, 1) - 1 AS ord FROM items) p WHERE s IS NOT NULL
 """,
 }
+_ITEM_NODE = r"regexp_replace(trim(i.parent_key), '[#\s]+$', '')"
+SQL["p2_item_places"] = f"SELECT i.item_id, p.node_key, p.root_key, p.depth, p.node_path FROM items i JOIN ({SQL['p2_found']}) p ON p.node_key = {_ITEM_NODE}"
+SQL["p2_hanging"] = (
+    SQL["p2_descendants"].rpartition("SELECT node_key, descendant_key")[0].rstrip()
+    + rf""", above AS (
+  SELECT node_key AS at, node_key FROM nodes UNION SELECT descendant_key, node_key FROM down
+), hung AS (
+  SELECT i.item_id, a.node_key FROM items i JOIN above a ON a.at = {_ITEM_NODE}
+  UNION
+  SELECT item_id, regexp_replace(trim(c), '[#\s]+$', '') FROM items, unnest(chapter_path) AS u(c)
+)
+SELECT node_key, count(*) AS n_items FROM hung WHERE node_key <> '' GROUP BY node_key
+"""
+)

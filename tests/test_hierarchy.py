@@ -1,6 +1,7 @@
 import random
 
 from cantera.operators import hierarchy
+from cantera.plans import training
 
 
 def brute(links):
@@ -59,3 +60,12 @@ def test_empty_table_and_extra_columns(spark, rows):
 def test_first_parent_wins(spark, rows):
     df = frame(spark, [(2, "q#", "x"), (1, "p#", "x")])
     assert ("x", "p", 1, "p/x") in rows(hierarchy.node_paths(df))
+
+
+def test_items_hang_by_parent_and_by_path(spark, rows, tmp_path):
+    links = [("A#", "B#"), ("B#", "C#"), ("C#", "F1$"), ("X#", "Y#"), ("Y#", "X#"), ("B", "never")]
+    spark.createDataFrame([(k, *x) for k, x in enumerate(links)], "line_no bigint, parent string, child string").write.parquet(str(tmp_path / "decompositions.parquet"))
+    items = [(1, "F1$", None), (2, " F1$ ", []), (3, "C#", ["A#", "B#", "C#"]), (4, None, ["A#", None, " ", "A"]), (5, "other", ["Z#"]), (6, "Y", ["A#"]), (7, None, None)]
+    spark.createDataFrame(items, "item_id bigint, parent_key string, chapter_path array<string>").write.parquet(str(tmp_path / "items.parquet"))
+    assert rows(training.p2_hanging(spark, str(tmp_path))) == [("A", 5), ("B", 3), ("C", 3), ("F1$", 2), ("Y", 1), ("Z", 1)]
+    assert rows(training.p2_item_places(spark, str(tmp_path))) == [(1, "F1$", "A", 3, "A/B/C/F1$"), (2, "F1$", "A", 3, "A/B/C/F1$"), (3, "C", "A", 2, "A/B/C"), (6, "Y", "", -1, "")]
