@@ -9,6 +9,7 @@ columns stay in the JVM: every array level is one posexplode.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,70 @@ def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+_SPACE = re.compile(r"[ \t\n\r]*")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _parsed(text: str):
+    """The value of a JSON text nested however deep; whole numbers keep their text.
+
+    Raises ValueError where the text is no JSON.
+    """
+    top: list = []
+    stack: list[tuple] = [(top, None)]  # open containers, each with the member name it waits to fill
+    at, want = _SPACE.match(text).end(), "value"  # else "first" (value or end), "name", "names" (name or end), "next"
+    while True:
+        held, name = stack[-1]
+        c = text[at : at + 1]
+        if want == "next":
+            if len(stack) == 1:
+                if c:
+                    raise ValueError("more after the value")
+                return top[0]
+            if c == ",":
+                at, want = at + 1, "name" if isinstance(held, dict) else "value"
+            elif c and c == ("}" if isinstance(held, dict) else "]"):
+                stack.pop()
+                at += 1
+            else:
+                raise ValueError("no comma")
+        elif (want == "names" and c == "}") or (want == "first" and c == "]"):
+            stack.pop()
+            at, want = at + 1, "next"
+        elif want in ("name", "names"):
+            if c != '"':
+                raise ValueError("no name")
+            name, at = json.decoder.scanstring(text, at + 1, True)
+            at = _SPACE.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("no colon")
+            stack[-1] = (held, name)
+            at, want = at + 1, "value"
+        else:
+            want, opened = "next", None
+            if c in ("{", "[") and c:
+                value = opened = {} if c == "{" else []
+                at, want = at + 1, "names" if c == "{" else "first"
+            elif c == '"':
+                value, at = json.decoder.scanstring(text, at + 1, True)
+            elif found := _NUMBER.match(text, at):
+                value, at = found.group(), found.end()
+                value = value if value.lstrip("-").isdigit() else float(value)
+            else:
+                word = next((w for w in _WORDS if text.startswith(w, at)), None)
+                if word is None:
+                    raise ValueError("no value")
+                value, at = _WORDS[word], at + len(word)
+            if isinstance(held, dict):
+                held[name] = value
+            else:
+                held.append(value)
+            if opened is not None:
+                stack.append((opened, None))
+        at = _SPACE.match(text, at).end()
+
+
 def _objects(text: str | None) -> list[tuple]:
     """``(table_path, parent_path, obj_path, ord, fields)`` of every object below the record.
 
@@ -33,8 +98,13 @@ def _objects(text: str | None) -> list[tuple]:
     if text is None or not text.strip():
         return []
     try:
-        top = json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        top = json.loads(text, parse_constant=_no_constant, parse_int=str)
+    except RecursionError:
+        try:
+            top = _parsed(text)
+        except ValueError:
+            return []
+    except ValueError:
         return []
     out: list[tuple] = []
     todo = [(top, "", "", "", 0)]

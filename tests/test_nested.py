@@ -1,6 +1,7 @@
 import json
 
 import pyarrow.parquet as pq
+import pytest
 from cantera.operators import nested
 from cantera.plans import training
 
@@ -77,3 +78,14 @@ def test_levels_hold_every_object_and_member(spark, small, rows):
         given = {k: v for k, v in members.items() if v is not None}
         assert set(given) == set(seen[key])
         assert all(v == seen[key][k] if isinstance(seen[key][k], str) else float(v.replace(",", ".")) == seen[key][k] for k, v in given.items())
+
+
+def test_deep_payloads_and_long_numbers():
+    deep = '{"deep": ' * 6000 + "[" * 6000 + "{}" + "]" * 6000 + "}" * 6000
+    assert len(nested._objects(deep)) == 6001 and nested._objects(deep[:-1]) == [] and nested._objects(deep + "}") == []
+    assert nested._objects('{"n": ' + "7" * 5000 + ', "m": [{}]}')[0][4] == [("n", "7" * 5000)]
+    texts = [json.dumps(p) for p in PAYLOADS] + ['{"a": -0.5e3, "b": "\\u00e9\\n", "c": [true, null, 12]}', " [ ] "]
+    assert all(nested._parsed(t) == json.loads(t, parse_int=str) for t in texts)
+    for bad in ("", "{", "[1,]", '{"a":1,}', '{"a" 1}', "01", "NaN", "tru", '"a', "[1 2]", "{1: 2}", "[}", '{"a": 1]', "1 2", "]"):
+        with pytest.raises(ValueError):
+            nested._parsed(bad)
