@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .blocks import EXCLUDED
+from .vectors import EXCLUDED
 from .syntax import PARAMETERS, Program
 
 LINES = "array<struct<ord:int,code:string,qty:double>>"
@@ -92,7 +92,7 @@ class Compiler:
         if not index and len(cells) == 1:
             return (plain[0], cells[0])
         if len(index) != len(shape):
-            self.fault(True, f"{key} is a matrix and needs indices" if not index else f"matrix needs {len(shape)} indices, got {len(index)}")
+            self.fault(True, f"{key} has {len(shape)} dimensions and is read with {len(index)} indices")
             return plain
         flat = F.lit(0)
         for n, (i, size) in enumerate(zip(index, shape), 1):
@@ -133,10 +133,6 @@ class Compiler:
 
     def on_call(self, name: str, args: list) -> tuple:
         values = [self.expression(a) for a in args]
-        least, most = {"ROUND": (1, 2), "ATAN2": (2, 2)}.get(name, (1, 1 if name not in ("ATOF", "FTOA") else 99))
-        if not least <= len(values) <= most:
-            self.fault(True, f"wrong number of arguments of {name}")
-            return ("num", F.lit(0.0))
         if name == "ATOF":
             return ("num", X.to_number(self.txt(values[0])))
         if name == "FTOA":

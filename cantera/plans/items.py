@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import code_key, is_percentage, option_letter
-from ..lang import blocks, columns
+from ..lang import columns, vectors
 from ..lang.syntax import Program, SyntaxFault, parse
+from ..operators import hierarchy
+from ..session import Cut, cut, some
 from ..sources.records import Catalog
 from . import expand, pricing
 
@@ -50,7 +52,7 @@ def evaluations(parsed: DataFrame) -> DataFrame:
     size = expand.BLOCK
     each = blocked.select(F.col("code").alias("family"), "program", "_n", F.explode(F.expr(f"sequence(0L, (_n - 1) div {size})")).alias("_block"))
     spread = each.repartition("family", "_block").select("family", "program", (F.col("_block") * size).alias("first"), F.least("_n", (F.col("_block") + 1) * size).alias("until"))
-    return spread.mapInArrow(blocks.evaluate, EVALUATED)
+    return spread.mapInArrow(vectors.evaluate, EVALUATED)
 
 
 def compiled_evaluations(catalog: Catalog, family: str, program: Program) -> DataFrame:
@@ -61,33 +63,48 @@ def compiled_evaluations(catalog: Catalog, family: str, program: Program) -> Dat
 
 
 def chapter_paths(parents: DataFrame) -> DataFrame:
-    """``code_key, chapter_path``: the chapters above each child from the top, the root left out."""
-    up = """
-    WITH RECURSIVE up AS (
-      SELECT child_key AS code_key, array(parent) AS path, rtrim('#', trim(parent)) AS top FROM {p} WHERE parent NOT LIKE '%##'
-      UNION ALL
-      SELECT up.code_key, array_prepend(up.path, p.parent), rtrim('#', trim(p.parent)) FROM up JOIN {p} p ON p.child_key = up.top
-      WHERE p.parent NOT LIKE '%##' AND NOT array_contains(up.path, p.parent) AND up.code_key <> rtrim('#', trim(p.parent))
-    ) SELECT code_key, max_by(path, size(path)) AS chapter_path FROM up GROUP BY code_key
+    """``code_key, chapter_path``: the chapters above each child from the top, the root left out.
+
+    Chapters hang below each other to any depth; where one contains itself, the path of what
+    hangs there goes up as far as the first chapter that would come twice.
     """
-    return parents.sparkSession.sql(up, p=parents)
+    links = parents.select("parent", F.col("child_key").alias("child"), F.lit(0).alias("line_no"))
+    chains, cyclic = hierarchy.decompose(links)
+    upward = hierarchy.placed(chains).select(F.col("node_key").alias("code_key"), F.slice("upward", 1, F.size("upward") - 1).alias("upward")).filter("size(upward) > 0")
+    up = parents.select(hierarchy.clean_key(F.col("child_key")).alias("key"), "parent")
+    if not cyclic.isEmpty():
+        own = up.withColumn("over", hierarchy.clean_key(F.col("parent")))
+        climbing = Cut(cyclic.select(F.col("node_key").alias("code_key"), F.col("node_key").alias("key"), F.array("node_key").alias("seen")), n=F.count(F.lit(1)))
+        while climbing.counts["n"]:
+            now = climbing.rows.join(own.select("key", "over"), "key").withColumn("again", F.array_contains("seen", F.col("over")))
+            step = Cut(now, n=some("not again"))
+            upward = upward.unionByName(step.rows.filter("again").select("code_key", F.reverse(F.slice("seen", 2, F.size("seen") - 1)).alias("upward")))
+            if not step.counts["n"]:
+                break
+            climbing = Cut(step.rows.filter("not again").select("code_key", F.col("over").alias("key"), F.array_append("seen", F.col("over")).alias("seen")), n=F.count(F.lit(1)))
+    names = up.select(hierarchy.clean_key(F.col("parent")).alias("key"), "parent").distinct().groupBy("key").agg(F.min("parent").alias("name"))
+    named = upward.select("code_key", F.posexplode("upward").alias("at", "key")).join(names, "key").filter(~F.col("name").endswith("##"))
+    listed = named.groupBy("code_key").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("c"))
+    return listed.select("code_key", F.transform("c", lambda x: x["name"]).alias("chapter_path"))
 
 
 def chapter_families(catalog: Catalog, chapter: str) -> DataFrame:
-    """``code``: the families anywhere below a chapter; ValueError if nothing hangs below it."""
-    top = chapter.strip().rstrip("#")
-    down = """
-    WITH RECURSIVE down AS (
-      SELECT child, array(parent_key) AS seen FROM {d} WHERE parent_key = :top
-      UNION ALL
-      SELECT d.child, array_append(down.seen, d.parent_key) FROM down JOIN {d} d ON d.parent_key = rtrim('#', down.child) WHERE NOT array_contains(down.seen, d.parent_key)
-    ) SELECT DISTINCT child AS code FROM down
+    """``code``: the families anywhere below a chapter; ValueError if nothing hangs below it.
+
+    Whatever the links look like (shared parts, cycles), each code is reached once: a round
+    adds the children of the codes that the last one added.
     """
-    below = catalog.spark.sql(down, args={"top": top}, d=catalog.decompositions.select("parent_key", "child"))
-    found = below.join(catalog.families_raw.select("code"), "code", "left_semi")
-    if not catalog.decompositions.filter(F.col("parent_key") == top).limit(1).count():
-        raise ValueError(f"unknown chapter {chapter}")
-    return found
+    top = chapter.strip().rstrip("#")
+    links = Cut(catalog.decompositions.select("parent_key", "child", code_key(F.col("child")).alias("key")).distinct()).rows
+    found = Cut(links.filter(F.col("parent_key") == top).select("child", "key").distinct(), n=F.count(F.lit(1)))
+    if not found.counts["n"]:
+        raise ValueError(f"nothing hangs below {chapter}")
+    new = found
+    while new.counts["n"]:
+        below = links.join(new.rows.select(F.col("key").alias("parent_key")).distinct(), "parent_key", "left_semi").select("child", "key").distinct()
+        new = Cut(below.join(found.rows, ["child", "key"], "left_anti"), n=F.count(F.lit(1)))
+        found = Cut(found.rows.unionByName(new.rows)) if new.counts["n"] else found
+    return catalog.families_raw.select("code").join(found.rows.select(F.col("child").alias("code")), "code", "left_semi")
 
 
 def select_families(catalog: Catalog, chapter: str | None = None, ranges: list[tuple[str, str]] = (), names: list[str] = ()) -> DataFrame:
@@ -123,14 +140,13 @@ def _priced(catalog: Catalog, evaluated: DataFrame, decimals: dict[str, int]) ->
 def items(catalog: Catalog, families: DataFrame | None = None, include_invalid: bool = False, with_decomposition: bool = True, ordered: bool = True) -> DataFrame:
     """The items of the families (all by default): the fourteen output columns, ``ordinal`` last.
 
-    Evaluation runs in spread blocks; concept prices are worked out once and joined.
+    Evaluation runs once, in spread blocks; concept prices are worked out once and joined.
     """
     decimals = catalog.decimals()
     raw = catalog.families_raw if families is None else catalog.families_raw.join(families.select("code"), "code", "left_semi")
-    parsed = parsed_families(raw)
+    parsed = cut(parsed_families(raw))
     evaluated = evaluations(parsed)
-    if not include_invalid:
-        evaluated = evaluated.filter("valid")
+    evaluated = cut(evaluated if include_invalid else evaluated.filter("valid"))
     full = evaluated.join(_priced(catalog, evaluated, decimals), ["family", "ordinal"], "left")
     no_lines = F.array().cast(f"array<{pricing.LINE}>")
     has = F.col("valid") & F.col("direct_price").isNull()

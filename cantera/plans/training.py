@@ -46,11 +46,9 @@ def p2_hanging(spark: SparkSession, folder: str) -> DataFrame:
     keys = F.array_sort(F.array_distinct(F.filter(paths, lambda k: k != "")))
     items = table(spark, folder, "items").select(hierarchy.clean_key(F.col("parent_key")).alias("at"), keys.alias("path"))
     groups = cut(items.groupBy("at", "path").agg(F.count(F.lit(1)).alias("n")))
-    parents = hierarchy.parent_links(links, "parent", "child", "line_no")
-    itself = parents.select("node_key").union(parents.select("parent_key")).distinct().select(F.col("node_key").alias("at"), "node_key")
-    above = hierarchy.descendants(links).select(F.col("descendant_key").alias("at"), "node_key")
-    wanted = groups.select("at").distinct()
-    upward = itself.union(above).join(wanted, "at", "left_semi").groupBy("at").agg(F.collect_list("node_key").alias("upward"))
+    chains, cyclic = hierarchy.decompose(links)
+    loose = cyclic.select(F.col("node_key").alias("at"), F.array("node_key").alias("upward"))
+    upward = hierarchy.placed(chains).select(F.col("node_key").alias("at"), "upward").unionByName(loose)
     nodes = F.array_union("path", F.coalesce("upward", F.array().cast("array<string>")))
     return groups.join(upward, "at", "left").select("n", F.explode(nodes).alias("node_key")).groupBy("node_key").agg(F.sum("n").alias("n_items"))
 

@@ -1,19 +1,24 @@
+import numpy as np
 import pytest
 
 from cantera.functions.text import LETTERS
-from cantera.lang import blocks
+from cantera.lang import vectors
 from cantera.lang.syntax import SyntaxFault, logical_lines, parse
 from cantera.plans import garden, items, pricing
 from cantera.sources.records import Catalog, decoded, records
 
 
+def run(program, *chosen):
+    return vectors.evaluated(program, np.array(chosen or [[]], np.int64).reshape(max(1, len(chosen)), -1)).to_pylist()
+
+
 def value(expression):
-    return blocks.compiled(parse(f"$Q={expression}\n\\R\\$Q\\"))([])
+    return run(parse(f"$Q={expression}\n\\R\\$Q\\"))[0]
 
 
 @pytest.mark.parametrize(
     ("expression", "text"),
-    [("-2^2", "-4"), ("2^3^2", "64"), ("!0+1", "2"), ("2^-1", "0.5"), ('"6,5 kV"*1', "6,5 kV"), ('ATOF("6,5 kV")+0', "6.5"), ('ATOF("1-5")', "1"), ('ATOF("x")', "0"), ("FTOA(2.0)", "2"), ("0.16", "0.16"), ("ROUND(2.345,2)", "2.35"), ("INT(-2.7)", "-2"), ("c+0", "3"), ('"3"*"2"', "6"), ('"a"="b"', "0"), ("10-2-3", "5"), ("1=1&0@1", "1"), ("ATAN2(1,1)", "45")],
+    [("-2^2", "-4"), ("2^3^2", "64"), ("!0+1", "2"), ("2^-1", "0.5"), ('"6,5 kV"*1', "6,5 kV"), ('ATOF("6,5 kV")+0', "6.5"), ('ATOF("1-5")', "1"), ('ATOF("x")', "0"), ("FTOA(2.0)", "2"), ("0.16", "0.16"), ("ROUND(2.345,2)", "2.35"), ("INT(-2.7)", "-2"), ("c+0", "3"), ('"3"*"2"', "6"), ('"a"="b"', "0"), ("10-2-3", "5"), ("1=1&0@1", "1"), ("ATAN2(1,1)", "45"), ("ABS(0-1,2)", "1"), ("SQRT(4,1)", "2"), ("ROUND(1.25,1,9)", "1.3"), ("ROUND(2.5)", "3"), ('"b">"a"', "1"), ('!""', "1")],
 )
 def test_expressions(expression, text):
     assert value(expression)["resumen"] == text
@@ -21,7 +26,7 @@ def test_expressions(expression, text):
 
 @pytest.mark.parametrize(
     ("expression", "message"),
-    [("1/0", "division by zero"), ("SQRT(0-1)", "square root of negative number"), ("0^(0-1)", "zero to a negative power"), ("ASIN(2)", "outside the domain of ASIN")],
+    [("1/0", "division by zero"), ("SQRT(0-1)", "square root of negative number"), ("0^(0-1)", "zero to a negative power"), ("ASIN(2)", "outside the domain of ASIN"), ("ABS()", "ABS has too few arguments"), ("ATAN2(1)", "ATAN2 has too few arguments"), ("10^400", "number out of range")],
 )
 def test_errors_of_one_selection(expression, message):
     found = value(expression)
@@ -35,12 +40,11 @@ def test_assembly_of_lines():
 
 def test_index_merge_and_messages():
     p = parse("\\X\\p\\q\\\n%M(2,3)=1,2,3,4,5,6\nA : %M(2,1)\nB : 1\nA : %Z+1\nC : 1-1\nD%A : 1\n%%O : 2\n%E=%A=b\n")
-    run = blocks.compiled(p)
-    first = run([1])
+    first, second = run(p, [1], [2])
     assert [(x["code"], x["qty"]) for x in first["lines"]] == [("A", 5.0), ("B", 1.0), ("Da", 1.0), ("%O", 2.0)]
     assert first["warnings"] == ["undefined variable %Z"] and first["valid"]
-    assert run([2])["error"] == blocks.EXCLUDED
-    bad = blocks.compiled(parse("\\X\\p\\q\\\n%M(1)=1\nA : %M(%A)"))([2])
+    assert second["error"] == vectors.EXCLUDED and second["lines"]
+    good, bad = run(parse("\\X\\p\\q\\\n%M(1)=1\nA : %M(%A)"), [1], [2])
     assert bad["error"] == "evaluation error: index 2 out of range 1..1 in dimension 1"
 
 
@@ -55,8 +59,8 @@ def test_stray_expression_is_a_warning():
 
 
 def test_ordinals_run_with_the_last_parameter_fastest():
-    assert [blocks.selection_at(o, [2, 3]) for o in range(6)] == [[a, b] for a in (1, 2) for b in (1, 2, 3)]
-    assert blocks.selection_at(0, []) == [] and len(LETTERS) == 62
+    assert vectors.selections(np.arange(6), [2, 3]).tolist() == [[a, b] for a in (1, 2) for b in (1, 2, 3)]
+    assert vectors.selections(np.arange(1), []).tolist() == [[]] and len(LETTERS) == 62
 
 
 def test_decoding_and_records():
