@@ -25,8 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-
-
 @query("SELECT doc_id, source, item_key FROM documents WHERE starts_with(source, 'pliego') AND item_key <> parent_key")
 def q01_key_prefix_filter(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter(F.col("source").startswith("pliego") & (F.col("item_key") != F.col("parent_key"))).select("doc_id", "source", "item_key")
@@ -123,32 +121,6 @@ def q08_derived_code_split(spark: SparkSession, folder: str) -> DataFrame:
     return split.select("code", "family", F.size("selection").cast("bigint").alias("n_letters"), F.col("selection")[0].cast("bigint").alias("first_option"))
 
 
-@query("""
-SELECT l_returnflag, l_linestatus, sum((l_quantity::decimal(18,2) * CASE l_returnflag || l_linestatus WHEN 'AF' THEN 1.10 WHEN 'AO' THEN 1.20 WHEN 'NF' THEN 1.30 WHEN 'NO' THEN 1.40 WHEN 'RF' THEN 1.50 ELSE 1.60 END)::decimal(38,4))::double AS scaled
-FROM lineitem GROUP BY 1, 2
-""")
-def q09_matrix_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    rates = F.array(*[F.lit(x).cast("decimal(5,2)") for x in ("1.10", "1.20", "1.30", "1.40", "1.50", "1.60")])
-    row = F.element_at(F.create_map(F.lit("A"), F.lit(1), F.lit("N"), F.lit(2), F.lit("R"), F.lit(3)), F.col("l_returnflag"))
-    column = F.when(F.col("l_linestatus") == "F", 1).otherwise(2)
-    rate = F.element_at(rates, ((row - 1) * 2 + column).cast("int"))
-    return table(spark, folder, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)") * rate).cast("double").alias("scaled"))
-
-
-@query("""
-SELECT p_partkey, abs(p_size - 25) AS a, trunc(p_retailprice)::bigint AS t, round(p_retailprice::varchar::decimal(38,10), 1)::double AS r,
-  round(sin(radians(p_size))::decimal(38,12), 9)::double AS s, round(cos(radians(p_size))::decimal(38,12), 9)::double AS c, round(degrees(atan(p_size / 10.0))::decimal(38,12), 8)::double AS at,
-  round(sqrt(p_size)::decimal(38,12), 9)::double AS q, p_size ** 2 AS w, CASE WHEN p_size % 5 = 0 THEN NULL ELSE round((p_size / (p_size % 5))::decimal(38,12), 9)::double END AS d
-FROM part
-""")
-def q10_scalar_math(spark: SparkSession, folder: str) -> DataFrame:
-    size = F.col("p_size").cast("double")
-    near = lambda c, n: F.round(c.cast("decimal(38,12)"), n).cast("double")
-    return table(spark, folder, "part").select(
-        "p_partkey", F.abs(F.col("p_size") - 25).alias("a"), F.col("p_retailprice").cast("bigint").alias("t"), F.round(pricing.exact(F.col("p_retailprice")), 1).cast("double").alias("r"), near(F.sin(F.radians(size)), 9).alias("s"), near(F.cos(F.radians(size)), 9).alias("c"), near(F.degrees(F.atan(size / 10)), 8).alias("at"), near(F.sqrt(size), 9).alias("q"), F.pow(size, F.lit(2.0)).alias("w"), near(F.try_divide(size, F.pmod(size, F.lit(5.0))), 9).alias("d"),
-    )
-
-
 @query(r"""
 WITH p AS (SELECT item_id, unnest(parameters) AS p FROM items), v AS (
   SELECT item_id, p['var'] AS var, p['label'] AS label, coalesce(try_cast(replace(regexp_extract(p['label'], '^\s*([-+]?(?:\d+(?:[.,]\d*)?|[.,]\d+))', 1), ',', '.') AS double), 0) AS number FROM p)
@@ -159,37 +131,6 @@ def q11_atof_ftoa(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("item_id", "p.var", "p.label", X.to_number(F.col("p.label")).alias("number")).withColumn("spelled", X.to_text(F.col("number")))
 
 
-@query("""
-SELECT o_orderkey, trim(regexp_replace('Order ' || (CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE '' END || CASE WHEN o_orderstatus = 'F' THEN 'final' ELSE '' END || CASE WHEN o_orderstatus = 'P' THEN 'partial' ELSE '' END) || '  of ' || o_orderpriority || ' ', '[ \t]+', ' ', 'g')) AS phrase FROM orders
-""")
-def q12_text_select_template(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = [F.when(F.col("o_orderstatus") == s, F.lit(t)).otherwise("") for s, t in (("O", "open"), ("F", "final"), ("P", "partial"))]
-    phrase = F.concat(F.lit("Order "), *chosen, F.lit("  of "), "o_orderpriority", F.lit(" "))
-    return table(spark, folder, "orders").select("o_orderkey", X.render_lines(phrase).alias("phrase"))
-
-
-@query("""
-SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'returned' END, CASE WHEN l_quantity > 45 THEN 'too many' END, CASE WHEN l_discount > 0.09 THEN 'too cheap' END) AS error FROM lineitem
-WHERE (l_returnflag = 'R' AND l_linestatus = 'F') OR l_quantity > 45 OR l_discount > 0.09
-""")
-def q13_exclusion_flag(spark: SparkSession, folder: str) -> DataFrame:
-    rules = [((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "returned"), (F.col("l_quantity") > 45, "too many"), (F.col("l_discount") > 0.09, "too cheap")]
-    first = F.coalesce(*[F.when(c, F.lit(m)) for c, m in rules])
-    return table(spark, folder, "lineitem").withColumn("error", first).filter("error is not null").select("l_orderkey", "l_linenumber", "error")
-
-
-
-
-@query("""
-SELECT l_orderkey, sum(round((l_quantity::decimal(18,3) * p_retailprice::decimal(18,2))::decimal(38,5), 2))::double AS total
-FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_quantity <> 0 GROUP BY 1
-""")
-def q14_decomposition_pricing(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").filter("l_quantity <> 0").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    amount = F.round(F.col("l_quantity").cast("decimal(18,3)") * F.col("p_retailprice").cast("decimal(18,2)"), 2)
-    return lines.groupBy("l_orderkey").agg(F.sum(amount).cast("double").alias("total"))
-
-
 def _order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their lines as ordered arrays, codes ``MO<n>`` or ``MT<n>`` by part."""
     code = F.concat(F.when(F.col("l_partkey") % 2 == 0, "MO").otherwise("MT"), F.col("l_partkey"))
@@ -257,15 +198,6 @@ def q17_catalogue_pricing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["q17_catalogue_pricing"] = q17_catalogue_pricing
 
 
-@query("""
-WITH l AS (SELECT l_orderkey, l_suppkey % 5 AS code, l_linenumber, l_quantity::decimal(18,2) AS q FROM lineitem)
-SELECT l_orderkey, code, min(l_linenumber) AS first_line, sum(q)::double AS quantity FROM l GROUP BY 1, 2 HAVING sum(q) <> 0
-""")
-def q18_repeated_code_merge(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 5).alias("code"), "l_linenumber", F.col("l_quantity").cast("decimal(18,2)").alias("q"))
-    return lines.groupBy("l_orderkey", "code").agg(F.min("l_linenumber").alias("first_line"), F.sum("q").alias("q")).filter("q <> 0").select("l_orderkey", "code", "first_line", F.col("q").cast("double").alias("quantity"))
-
-
 def q19_items_json(spark: SparkSession, folder: str) -> DataFrame:
     """Items as JSON lines, nulls written."""
     items = table(spark, folder, "items").drop("loaded_at")
@@ -444,17 +376,6 @@ def q35_sample_texts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["q35_sample_texts"] = q35_sample_texts
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, coalesce(p_retailprice, 0) AS price, CASE WHEN p_partkey IS NULL THEN 'unknown concept P' || l_partkey END AS warning
-FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey
-""")
-def q36_price_join_miss_warnings(spark: SparkSession, folder: str) -> DataFrame:
-    known = table(spark, folder, "part").filter("p_size > 10").select("p_partkey", "p_retailprice")
-    rows = table(spark, folder, "lineitem").join(known, F.col("l_partkey") == F.col("p_partkey"), "left")
-    warning = F.when(F.col("p_partkey").isNull(), F.concat(F.lit("unknown concept P"), "l_partkey"))
-    return rows.select("l_orderkey", "l_linenumber", F.coalesce("p_retailprice", F.lit(0.0)).alias("price"), warning.alias("warning"))
-
-
 def q37_parametric_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Parse, expand, evaluate and price the package's own catalogue, invalid items included."""
     from ..sources.records import Catalog

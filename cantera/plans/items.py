@@ -55,11 +55,11 @@ def evaluations(parsed: DataFrame) -> DataFrame:
     return spread.mapInArrow(vectors.evaluate, EVALUATED)
 
 
-def compiled_evaluations(catalog: Catalog, family: str, program: Program) -> DataFrame:
-    """One family's evaluations as a single JVM plan (the programs of the other backend)."""
+def compiled_evaluations(families: DataFrame, program: Program) -> DataFrame:
+    """The evaluations of all families (``family``) of one program as a single JVM plan (the
+    programs of the other backend)."""
     counts = F.array(*[F.lit(n) for n in program.counts()]).cast("array<int>")
-    one = catalog.spark.range(1).select(F.lit(family).alias("family"), counts.alias("counts"))
-    return columns.evaluations(expand.combinations(one, "counts").drop("counts"), program)
+    return columns.evaluations(expand.combinations(families.select("family", counts.alias("counts")), "counts").drop("counts"), program)
 
 
 def chapter_paths(parents: DataFrame) -> DataFrame:

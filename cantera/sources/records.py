@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import code_key
 from ..plans.pricing import DEFAULT_DECIMALS
+from ..session import Cut
 
 SCHEMA = "file string, record_no bigint, line_no int, kind string, fields array<string>"
 _BEGIN = re.compile(r"~[A-Z]\|")
@@ -47,8 +48,8 @@ def records(text: str) -> Iterator[tuple[int, str, list[str]]]:
             yield first + 1, kind, fields[:-1] if fields[-1] == "" else fields
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all files at a path on any file system; raises ValueError if there are none."""
+def split_files(files: DataFrame) -> DataFrame:
+    """The records of files given as ``path, content`` (batch or stream), in batches of 10,000."""
     kind = pa.schema([("file", pa.string()), ("record_no", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string()), ("fields", pa.list_(pa.string()))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,10 +59,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_pylist(rows[at : at + 10_000], schema=kind)
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, SCHEMA)
-    if not found.limit(1).count():
+    return files.select("path", "content").mapInArrow(split, SCHEMA)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all files at a path on any file system, read once; raises ValueError if
+    there are none."""
+    found = Cut(split_files(spark.read.format("binaryFile").load(path)), n=F.count(F.lit(1)))
+    if not found.counts["n"]:
         raise ValueError(f"no records in {path}")
-    return found
+    return found.rows
 
 
 class CatalogSource(DataSource):

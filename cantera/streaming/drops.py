@@ -7,23 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.records import SCHEMA, decoded, records
+from ..sources.records import split_files
 
 
 def dropped_records(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the records of catalogue files as they are dropped into a folder."""
-    import pyarrow as pa
-
-    kind = pa.schema([("file", pa.string()), ("record_no", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string()), ("fields", pa.list_(pa.string()))])
-
-    def split(batches):
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = [{"file": name, "record_no": n, "line_no": line, "kind": k, "fields": f} for n, (line, k, f) in enumerate(records(decoded(data)))]
-                yield pa.RecordBatch.from_pylist(rows, schema=kind)
-
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
-    return files.select("path", "content").mapInArrow(split, SCHEMA)
+    return split_files(files)
 
 
 def arrivals(rows: DataFrame, at: str, key: str, window: str = "1 day", late: str = "30 days") -> DataFrame:

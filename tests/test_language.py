@@ -81,7 +81,7 @@ def test_garden_items_and_both_backends(spark):
     assert found["GPA200ba"]["decomposition"] == [] and found["GPA200ba"]["price"] == 38.75
     assert found["GPA100aa"]["texto"] == "Gravel path of width 1 m.\nShift: Day"
     for code, body in c.families_raw.collect():
-        a = items.compiled_evaluations(c, code, parse(body)).orderBy("ordinal").drop("family").collect()
+        a = items.compiled_evaluations(spark.createDataFrame([(code,)], "family string"), parse(body)).orderBy("ordinal").drop("family").collect()
         b = items.evaluations(items.parsed_families(c.families_raw.filter(f"code = '{code}'"))).orderBy("ordinal").drop("family").collect()
         for x, y in zip(a, b, strict=True):
             x, y = x.asDict(True), y.asDict(True)
