@@ -1,20 +1,23 @@
 """Template residue, filler and error-page text in place of content.
 
-Three character n-gram models: filler and placeholders, error and script notices (both fitted
-on labelled phrases below), and natural prose (fitted on every segment of the corpus plus
-labelled real descriptions that read alike).  The likelihood ratio of each residue model over
-natural prose is summed over the best window of each segment; a value holds residue where a
-window exceeds a margin validated on labelled and corpus segments, and is excluded where the
-windows cover enough of it.  Digits count as one, case does not count.
+Character n-gram models of placeholders, filler and notices are fitted on a labelled sample
+(``specimens``), the model of natural prose on the whole corpus.  Windows of whole words are
+scored: each residue model, starting afresh and falling back on natural prose where it knows
+nothing, against natural prose that goes on or starts a clause afresh.  A value holds
+residue where the log-likelihood ratio of a window exceeds a margin, and is excluded where
+such windows cover enough of it.
+
+Residue that recurs would teach the natural model to expect it, so prose is counted again
+without the clauses found so far; labelled descriptions that read alike speak for natural
+prose.  What stands in quotation marks is mentioned (the words of a sign), so no window
+begins there.  Digits count as one, case does not count.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -22,123 +25,128 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-
-ORDER = 6
-#: Bound on corpus segments used to validate the margin; distinct segments a worker remembers.
-SAMPLE, REMEMBERED = 4000, 300_000
-#: The most that one character adds to a window, either way.
-CLIP = 2.5
-#: The share of the residue model in the mixture that a window is scored by.
-SHARE = 0.5
-
-#: Labelled phrases (fixed values): forms of placeholders, § being a field's name.
-PLACEHOLDERS = ("{§}", "{{§}}", "{{ § }}", "{{ item.§ }}", "${§}", "%(§)s", "%§%", "<§>", "<<§>>", "[[§]]", "@@§@@", "#§#", "&§;", "__§__", "<%= § %>", "<!-- § -->")
-PROMPTS = ("[insertar §]", "[indicar §]", "[§ a definir]", "[completar §]", "(rellenar § según proyecto)", "[insert §]", "<indicar §>", "[pendiente: §]")
-BLANKS = (
-    "???", "_____", "_____ m", "_____ mm", "xxxx", "xxxx mm", "xxxx m", "undefined", "undefined mm", "nan", "nan m", "nan mm", "null", "none", "<<completar>>", "(a completar)", "#n/d", "#n/a", "#¡ref!", "#ref!", "#¡valor!", "#value!", "{0}", "{0:}", "%s", "%d", "tbd",
-)
-FILLER = (
-    "lorem ipsum dolor sit amet consectetur", "lorem ipsum", "lorem ipsum vandor quelis amet torvique sedal.", "texto de ejemplo, sustituir por la descripción definitiva.", "texto pendiente de redactar", "descripción por defecto", "nuevo concepto (copia)", "asdf asdf asdf", "prueba prueba prueba 0", "text de mostra, pendent d'omplir", "insert description here", "todo: descripción de la partida", "escriba aquí la descripción de la unidad", "texto de relleno", "sample text", "texto provisional, no publicar", "descripción pendiente de completar", "escriba aquí su texto", "your text here", "text goes here", "qwerty qwerty", "texto de muestra",
-)
-_STATUS = ("not found", "forbidden", "internal server error", "bad gateway", "service unavailable", "gateway timeout", "unauthorized", "gone", "bad request", "request timeout", "too many requests")
-_FAULT = (
-    "acceso denegado", "página no encontrada", "no se encuentra la página", "error interno del servidor", "servicio no disponible", "tiempo de espera agotado", "el recurso ya no existe", "pasarela incorrecta", "debe iniciar sesión", "la sesión ha caducado", "sesión caducada", "access denied", "page not found", "erro interno do servidor", "página não encontrada", "pàgina no trobada", "accés denegat", "error del servidor",
-)
-ERRORS = (
-    *_STATUS, *(f"000 {s}" for s in _STATUS), *(f"http 000 {s}" for s in _STATUS), *(f"http/0.0 000 {s}" for s in _STATUS), *(f"<title>{s}</title>" for s in _STATUS), *(f"<title>000 {s}</title>" for s in _STATUS), *(f"{s}. try again later." for s in _STATUS), "502 bad gateway nginx".replace("502", "000"),
-    *_FAULT, *(f"000 {s}" for s in _FAULT), *(f"error 000: {s}" for s in _FAULT), *(f"<h0>000</h0> <p>{s}</p>" for s in _FAULT), *(f"¡vaya! {s}. vuelva a intentarlo." for s in _FAULT), *(f"{s} (código 000)" for s in _FAULT), *(f"{s}. código 000" for s in _FAULT),
-    "acceso denegado. no tiene permisos para ver este recurso.", "000 servicio no disponible temporalmente", "la sesión ha caducado, inicie sesión de nuevo.", "se ha producido un error al cargar la página. vuelva a intentarlo más tarde.", "el servidor ha tardado demasiado en responder", "exception: tiempo de espera agotado al consultar la ficha", "000 not found: the requested item could not be located", "try again later.", "vuelva a intentarlo más tarde.", "null pointer exception", "traceback (most recent call last)", "an error occurred while loading the page",
-)
-_ASK = ("active", "habilite", "permita", "necesita habilitar", "necesita activar", "debe activar", "debe habilitar", "es necesario activar", "cal activar", "please enable", "enable", "you need to enable", "ative")
-_WHAT = ("javascript", "los scripts", "la ejecución de scripts", "javascript y las cookies", "javascript and cookies")
-_WHY = ("", " en su navegador", " en su navegador para ver este contenido", " para ver este contenido", " para ver esta ficha", " para continuar", " y recargue la página", " per veure la fitxa", " to continue", " to view this page")
-SCRIPTS = (
-    *("".join(x) for x in product((f"{a} " for a in _ASK), _WHAT, _WHY)), "su navegador no admite scripts o están desactivados.", "this page requires scripts. turn them on and reload.", "your browser does not support javascript", "javascript is disabled", "javascript está desactivado",
-)
-#: Labelled phrases (fixed values): real descriptions that merely read alike.
-REAL = (
-    "rótulo «servicio no disponible».", "cartel con el texto «acceso denegado».", "pantalla «fuera de servicio».", "alarma por servidor no encontrado cableada a central.", "aviso sonoro tras error 0 del convertidor.", "error de cierre inferior a 0 mm.", "script de maniobra del autómata cargado.", "con navegador de menús en el panel.", "con plantilla de replanteo.", "relleno con material de ejemplo aprobado.", "página 0 del anejo.", "bornes {a0, a0}.", "placa [a-0].", "ruido <00 db.", "ruido <0 db.", "pendiente del 0 %.", "pendiente del 0 %", "dosificación 0 % b.", "coste orientativo 0 $ por metro.", "coste orientativo 00 $ por metro.", "talla xxl en ropa de seguridad.", "tasa de 0 £ por metro.", "con tolerancia ±0 mm.", "filtro de 0 µm.", "gama élite ¡oferta!.",
-)
-#: Characters of natural text for which each of them counts once more.
-REAL_SHARE = 10_000
-#: The letters of a family's parameters, which templates refer to.
-LETTERS = "abcdfghijk"
-#: From this ratio on a window needs no labelled phrase to confirm it.
-SURE = 9.0
+from .specimens import specimens
+
+#: Orders of the natural and of the labelled models.
+PROSE, ORDER = 4, 6
+#: Cells of the labelled models, many for few texts, so that strangers hardly ever meet theirs.
+WIDE = 1 << 22
+#: Distinct clauses that a worker remembers before it starts over; bounds memory, not results.
+REMEMBERED = 300_000
+#: How often prose is counted again without the residue found.
+RECOUNTS = 2
+#: The log odds of a clause being natural before it is read, the margin of a window.
+MARGIN = 5.5
+#: The log probability that natural prose starts a clause afresh at a word.
+AFRESH = -2.0
+#: How much the models below weigh in the labelled ones; from this order on they count for prose.
+STRENGTH, LOOKED = 2.0, 4
+#: The most that one character tells against a window.
+WORST = 5.0
 _BLANK = re.compile(r"\s+")
-def _level(part: str) -> str:
-    return _BLANK.sub(" ", part.lower().translate(ngrams.DIGITS)).strip()
+_BEGIN = re.compile(r"(?<=\s)\S|^\S|(?<=\w)[\[\]{}<>$%#@&?_!]+|(?<![\s\w])\w")
+_QUOTED = re.compile('«[^»]*»|“[^”]*”|"[^"]*"')
 
 
 class Levels(dict):
-    """Levelled clauses by their raw text, filled as clauses occur; most recur."""
+    """Clauses lower-cased, with white space and digits levelled, filled as they occur."""
 
     def __missing__(self, part: str) -> str:
         if len(self) > REMEMBERED:
             self.clear()
-        self[part] = value = _level(part)
+        self[part] = value = _BLANK.sub(" ", part.lower().translate(ngrams.DIGITS)).strip()
         return value
 
 
 def segments(text: str, levels: dict[str, str]) -> list[str]:
-    """The lines and clauses of a text, lower-cased, with white space and digits levelled."""
+    """The lines and clauses of a text, levelled."""
     parts = text.replace(". ", ".\n").replace(", ", ",\n").replace("; ", ";\n").split("\n")
     return [s for p in parts if (s := levels[p])]
 
 
-def labelled(names: list[str]) -> dict[str, Counter]:
-    """The labelled residue phrases of each kind with their weights, for the field names that
-    placeholders may mention."""
-    plain = sorted({n.lower() for n in names} or {"campo"})
-    snake = sorted({re.sub(r"[^a-z0-9]+", "_", x) for n in plain for x in (n, n.translate(str.maketrans("áéíóúüñç", "aeiouunc")))})
-    filler = Counter({x: 3 for x in FILLER} | {x: 20 for x in BLANKS})
-    filler.update(f.replace("§", n) for f in PLACEHOLDERS for n in snake)
-    filler.update(f.replace("§", n) for f in PROMPTS for n in {*plain, *snake})
-    for x in LETTERS:
-        filler.update({f"{sign}{x}{end}": 3 for sign in "$%" for end in (" ", ",", ";", ".", " mm", " cm")})
-        filler.update(f"${f}(%{x},%{y})" for f in "tsr" for y in LETTERS)
-        filler.update({f"${f}(%{x})": 3 for f in "tsr"})
-    return {"filler": filler, "notice": Counter({x: 2 for x in ERRORS} | {x: 1 for x in SCRIPTS})}
-
-
-def residue_models(names: list[str]) -> dict[str, ngrams.Model]:
-    """The two residue models."""
-    return {kind: ngrams.model_of(Counter({f" {x} ": n for x, n in found.items()}), ORDER) for kind, found in labelled(names).items()}
-
-
-def automaton(names: list[str]):
-    """Finds labelled phrases, so that segments which hold one are not counted as natural."""
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for phrases in labelled(names).values():
-        for x in phrases:
-            found.add_word(x.rstrip("."), 1)
-    found.make_automaton()
-    return found
-
-
-def train(values: DataFrame, text: str, names: list[str]) -> tuple[ngrams.Model, list[str]]:
-    """The natural model over all segments of all values, and a bounded sample of segments.
-
-    Segments that hold a labelled residue phrase do not count; each partition sends the
-    cells it filled, at most the size of the model, and its segments of smallest hash.
-    """
-    share = F.pmod(F.xxhash64("segment"), F.lit(1 << 20))
+class Judge:
+    """The labelled models, and natural prose as counted so far."""
+
+    def __init__(self, labelled: list[tuple[str, str, str]], prose: np.ndarray) -> None:
+        self.prose = ngrams.Model(np.arange(ngrams.CELLS), prose, PROSE)
+        texts: dict[str, Counter] = {}
+        for label, _, x in labelled:
+            texts.setdefault(label, Counter()).update([x])
+        alike = Counter({f" {x}{end} ": n for x, n in texts.pop("natural", Counter()).items() for end in ("", ".", ",")})
+        self.alike = ngrams.model_of(alike, ORDER, WIDE)
+        self.kinds = {kind: ngrams.model_of(found, ORDER, WIDE) for kind, found in texts.items()}
+        self.known: dict[str, tuple[float, str, int]] = {}
+
+    def natural(self, texts: list[str]) -> np.ndarray:
+        """The log probability of each character as prose, labelled look-alikes included."""
+        base, _ = self.prose.log_probs(texts)
+        return np.maximum(base, np.log(self.alike.adapted(np.exp(base), ngrams.hashes_of(texts, ORDER), 1.0, LOOKED)))
+
+    def windows(self, found: list[str]) -> list[tuple[float, str, int]]:
+        """For each clause the best window's log-likelihood ratio, its kind and its length."""
+        padded = [f" {s} " for s in found]
+        place = [(k, m.start()) for k, s in enumerate(padded) for q in [[x.span() for x in _QUOTED.finditer(s)]] for m in _BEGIN.finditer(s) if not any(a <= m.start() < b for a, b in q)]
+        out: list[tuple[float, str, int]] = [(0.0, "", 0)] * len(found)
+        if not place:
+            return out
+        rest = [padded[k][p:-1] for k, p in place]
+        # every row of these arrays is a character of what follows a place, its end included
+        size = np.array([len(x) + 1 for x in rest])
+        begin = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(rest)), size)
+        pos = np.arange(size.sum()) - begin[own]
+        last = pos == size[own] - 1
+        clause = np.cumsum([0, *(len(s) + 1 for s in padded)])
+        on = self.natural(padded)[np.array([clause[k] + p for k, p in place])[own] + pos]
+        anew = np.delete(self.natural([f" {x}" for x in rest]), np.cumsum(size + 1) - size - 1)
+        on[last] = anew[last] = 0
+
+        def upto(x: np.ndarray) -> np.ndarray:
+            total = np.cumsum(x)
+            return total - np.concatenate([[0.0], total])[begin][own]
+
+        prose = np.maximum(upto(on), upto(anew) + AFRESH)
+        letters = np.frombuffer("".join(f"{x}\x03" for x in rest).encode("utf-32-le", "surrogatepass"), np.uint32)
+        some, code = np.unique(letters, return_inverse=True)
+        inside = np.array([chr(c).isalnum() for c in some])[code]
+        ends = ~(inside & np.append(inside[1:], False)) & ~last
+        hashes = ngrams.hashes_of(rest, ORDER)
+        for kind, model in self.kinds.items():
+            tells = np.maximum(np.log(model.adapted(np.exp(on), hashes, STRENGTH, 1)), on - WORST)
+            tells[last] = 0
+            ratio = np.where(ends, upto(tells) - prose, -np.inf)
+            best = np.maximum.reduceat(ratio, begin)
+            for j in np.flatnonzero(best > 0).tolist():
+                k = place[j][0]
+                if best[j] > out[k][0]:
+                    at = int(np.argmax(ratio[begin[j] : begin[j] + size[j]]))
+                    out[k] = (float(best[j]), kind, at + 1)
+        return out
+
+    def learn(self, clauses: set[str]) -> None:
+        """Judge the clauses not yet known; most recur."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [s for s in clauses if s not in self.known]
+        for k in range(0, len(new), 4000):
+            self.known.update(zip(new[k : k + 4000], self.windows(new[k : k + 4000])))
+
+
+def counted(values: DataFrame, text: str, labelled: list[tuple[str, str, str]], before: np.ndarray | None) -> np.ndarray:
+    """The table of natural prose over all clauses of all values, or over those that are no
+    residue by the prose counted before."""
+    shared = values.sparkSession.sparkContext.broadcast(None if before is None else before.astype(np.float32))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, levels = automaton(names), Levels()
-        found, table = Counter(), np.zeros(ngrams.CELLS, np.int64)
-        least: dict[int, str] = {}
+        judge = None if shared.value is None else Judge(labelled, shared.value)
+        found, levels, table = Counter(), Levels(), np.zeros(ngrams.CELLS, np.int64)
 
         def flush() -> None:
-            kept = Counter({f" {s} ": n for s, n in found.items() if next(known.iter(s), None) is None})
-            cells, counts = ngrams.count(kept, ORDER)
+            if judge:
+                judge.learn(set(found))
+            kept = Counter({f" {s} ": n for s, n in found.items() if not judge or judge.known[s][0] < MARGIN})
+            cells, counts = ngrams.count(kept, PROSE)
             table[cells] += counts
-            for s in kept:
-                least.setdefault(hash_of(s), s.strip())
-            for h in sorted(least)[SAMPLE // 4 :]:
-                del least[h]
             found.clear()
 
         for b in batches:
@@ -148,107 +156,32 @@ def train(values: DataFrame, text: str, names: list[str]) -> tuple[ngrams.Model,
             if len(found) > 100_000:
                 flush()
         flush()
-        cells = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.nulls(len(cells), pa.string()), pa.array(table[cells])], names=["cell", "segment", "n"])
-        some = list(least.values())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some, pa.string()), pa.array([1] * len(some), pa.int64())], names=["cell", "segment", "n"])
-
-    parts = values.select(F.col(text)).mapInArrow(local, "cell bigint, segment string, n bigint")
-    summed = parts.groupBy("cell", "segment").agg(F.sum("n").alias("n")).persist()
-    cells = summed.filter("cell is not null").select("cell", "n").toPandas()
-    sample = [r[0] for r in summed.filter("segment is not null").select("segment").orderBy(share, "segment").limit(SAMPLE).collect()]
-    summed.unpersist()
-    return with_real(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64)), sample
-
-
-def with_real(cells: np.ndarray, counts: np.ndarray) -> ngrams.Model:
-    """The natural model of counted text and of the labelled real descriptions, the latter
-    weighted by the amount of text so that they matter alike at every size."""
-    model = ngrams.Model(cells, counts, ORDER)
-    own, real = ngrams.count(Counter({f" {x} ": 1 for x in REAL}), ORDER)
-    model.table[own] += real * max(1, int(model.total()) // REAL_SHARE)
-    return model
-
-
-def hash_of(text: str) -> int:
-    """A hash that is the same in every process."""
-    return zlib.crc32(text.encode("utf-8", "replace"))
-
-
-def windows(found: list[str], models: dict[str, ngrams.Model], natural: ngrams.Model) -> list[tuple[float, str, int]]:
-    """For each segment the best window's log-likelihood ratio, its kind and its length."""
-    if not found:
-        return []
-    padded = [f" {s} " for s in found]
-    base, owner = natural.log_probs(padded)
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    out: list[tuple[float, str, int]] = [(0.0, "", 0)] * len(found)
-    for kind, model in models.items():
-        # mixed with prose, the residue model gains only where it knows better, not where both are surprised
-        ratio = np.clip(np.logaddexp(model.log_probs(padded)[0] + np.log(SHARE), base + np.log(1 - SHARE)) - base, -CLIP, CLIP)
-        # a deep drop between segments makes the running minimum start anew in each
-        sums = np.cumsum(ratio) - owner * 1e5
-        before = np.concatenate([[0.0], sums[:-1]])
-        before[first] = np.concatenate([[0.0], sums[first[1:] - 1]]) - np.where(owner[first] > 0, 1e5, 0.0)
-        low = np.minimum.accumulate(before)
-        gain = sums - low
-        best = np.maximum.reduceat(gain, first)
-        ends = np.append(first[1:], len(owner))
-        for k in np.flatnonzero(best > np.array([o[0] for o in out])):
-            at = first[k] + int(np.argmax(gain[first[k] : ends[k]]))
-            start = first[k] + int(np.argmin(before[first[k] : at + 1]))
-            out[k] = (float(best[k]), kind, int(at - start + 1))
-    return out
-
-
-def confirmed(found: list[str], best: list[tuple[float, str, int]], phrases) -> list[tuple[float, str, int]]:
-    """The windows, but nothing for a doubtful one in a segment without a labelled phrase."""
-    return [w if w[0] >= SURE or w[0] > 0 and next(phrases.iter(s), None) is not None else (0.0, "", 0) for s, w in zip(found, best)]
-
+        yield from ngrams.packed(table)
 
-def validate(models: dict[str, ngrams.Model], natural: ngrams.Model, sample: list[str], names: list[str]) -> float:
-    """The margin with the fewest errors: labelled residue inside sample segments against the
-    segments themselves and the labelled real descriptions."""
-    seeds = [*FILLER[2:14], *ERRORS[:: max(1, len(ERRORS) // 40)], *SCRIPTS[:: max(1, len(SCRIPTS) // 40)], *BLANKS[:21], *(f.replace("§", n.lower().replace(" ", "_")) for f in PLACEHOLDERS for n in names[:3])]
-    plain = sample or list(REAL)
-    put = [f"{plain[k % len(plain)][: len(plain[k % len(plain)]) // 2]} {s} {plain[k % len(plain)][len(plain[k % len(plain)]) // 2 :]}" for k, s in enumerate(seeds)]
-    phrases = automaton(names)
-    bad = np.array([w[0] for w in confirmed(put, windows(put, models, natural), phrases)])
-    real = [*plain, *REAL]
-    good = np.array([w[0] for w in confirmed(real, windows(real, models, natural), phrases)])
-    margins = np.arange(3.0, 16.0, 0.5)
-    errors = [(bad < m).mean() + (good >= m).mean() for m in margins]
-    return float(np.quantile(margins[np.isclose(errors, min(errors))], 0.25))
+    return ngrams.gathered(values.select(F.col(text)), local, ngrams.CELLS)
 
 
-def residue(values: DataFrame, key: list[str], text: str, names: list[str], margin: float | None = None) -> DataFrame:
+def residue(values: DataFrame, key: list[str], text: str, names: list[str], margin: float = MARGIN) -> DataFrame:
     """The key columns of each value with residue, ``kind``, ``ratio`` and ``coverage``.
 
     ``coverage`` is the share of the value's characters inside windows above the margin.
     Null and blank values give no row; an empty table gives no rows.
     """
-    models = residue_models(names)
-    natural, sample = train(values, text, names)
-    least = validate(models, natural, sample, names) if margin is None else margin
-    shared = values.sparkSession.sparkContext.broadcast((natural.table.astype(np.float32), {k: m.table.astype(np.float32) for k, m in models.items()}))
+    labelled = specimens(names)
+    prose = None
+    for _ in range(1 + RECOUNTS):
+        prose = counted(values, text, labelled, prose)
+    shared = values.sparkSession.sparkContext.broadcast(prose.astype(np.float32))
     kinds = {f.name: f.dataType.simpleString() for f in values.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, own = shared.value
-        every = np.arange(ngrams.CELLS)
-        prose, rest = ngrams.Model(every, table, ORDER), {k: ngrams.Model(every, t, ORDER) for k, t in own.items()}
-        phrases, levels = automaton(names), Levels()
-        known: dict[str, tuple[float, str, int]] = {}
+        judge, levels = Judge(labelled, shared.value), Levels()
         for b in batches:
             cut = [segments(t, levels) if t else () for t in b.column(len(key)).to_pylist()]
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({s for ss in cut for s in ss if s not in known})
-            for k in range(0, len(new), 5000):
-                known.update(zip(new[k : k + 5000], confirmed(new[k : k + 5000], windows(new[k : k + 5000], rest, prose), phrases)))
+            judge.learn({s for ss in cut for s in ss})
             rows, made = [], []
             for k, ss in enumerate(cut):
-                hits = [w for s in ss if (w := known[s])[0] >= least]
+                hits = [w for s in ss if (w := judge.known[s])[0] >= margin]
                 if hits:
                     top = max(hits)
                     rows.append(k)
