@@ -1,9 +1,10 @@
 """Copies hidden by formatting: canonical digests, two merged filters, exact grouping.
 
-A first pass turns each record into a 16-byte digest of its canonical form.  Every partition
-contributes the cells that its digests set once and those they set repeatedly; merged, the
-second plane answers "can this digest occur twice?" without false negatives.  Only possible
-repeats are shuffled for exact grouping, all others are singletons where they stand.
+A first pass turns each record into a 16-byte digest of its canonical form.  The filter lies
+in blocks of hash ranges, as many as the records need: every partition contributes the marks
+that it saw once and repeatedly, and a merged block answers "can this digest occur twice?"
+without false negatives.  Only possible repeats are shuffled for exact grouping, all others
+are singletons where they stand.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Cut
 
-BLOCK = 1 << 16
-#: Cells per record and the least and most cells in all (the second plane is broadcast: 16 MB at most).
-CELLS, LEAST, MOST = 8, 1 << 16, 1 << 27
+#: Records and cells of one block of the filter (8 cells a record); blocks grow in number with the data.
+RECORDS, CELLS = 1 << 20, 1 << 23
+#: The least number of blocks, so that small tables spread too.
+SPREAD = 16
 
 _WORD = r"\p{L}\p{M}\p{N}"
 _BLANK = r"\s\p{Z}\x1c-\x1f\x{85}_"
@@ -48,67 +50,59 @@ def digests(df: DataFrame, record_id: str, title: str, body: str) -> DataFrame:
     return keyed.select("record_id", F.when(real, F.substring(F.unhex(F.sha2(whole, 256)), 1, 16)).alias("digest"))
 
 
-def _cells(digest: pa.Array, cells: int) -> np.ndarray:
-    """Two cells of each digest, as a column each."""
-    flat = np.frombuffer(b"".join(digest.to_pylist()), dtype="<u8").reshape(-1, 2)
-    return (flat & np.uint64(cells - 1)).astype(np.int64)
+def _pair(mark: np.ndarray) -> np.ndarray:
+    """The two cells of each mark, as a column each."""
+    bits = mark.view(np.uint64)
+    return np.stack([bits & np.uint64(CELLS - 1), (bits >> np.uint64(23)) & np.uint64(CELLS - 1)], axis=1).astype(np.int64)
 
 
-def repeat_plane(keyed: DataFrame, cells: int) -> bytes:
-    """The packed plane of cells that two or more records set, merged over all partitions."""
+def possible_repeats(marks: DataFrame, blocks: int) -> DataFrame:
+    """``mark``: the marks (64-bit hashes, a column) that may stand in two or more rows.
+
+    A block of the filter covers a range of hashes.  Each partition sends a block the marks
+    that it saw once and those that it saw again; merged, a cell that was set once by one
+    partition only stands in the first plane, any other in the second.  A mark is passed if
+    both of its cells stand in the second plane: no repeat is missed.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_cells(b.column(0), cells) for b in batches if b.num_rows]
+        found = [b.column(0).to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
         if not found:
             return
-        pairs = np.concatenate(found)
-        second = pairs[:, 1][pairs[:, 0] != pairs[:, 1]]
-        at, n = np.unique(np.concatenate([pairs[:, 0], second]), return_counts=True)
-        block = at // BLOCK
+        mark, n = np.unique(np.concatenate(found), return_counts=True)
+        block = ((mark.view(np.uint64) >> np.uint64(46)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        mark, n, block = mark[order], n[order], block[order]
         edges = np.flatnonzero(np.diff(block, prepend=-1))
-        out = []
-        for lo, hi in zip(edges, [*edges[1:], len(at)]):
-            inside = (at[lo:hi] % BLOCK).astype("<u2")
-            again = n[lo:hi] > 1
-            out.append((int(block[lo]), inside[~again].tobytes(), inside[again].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["block", "once", "again"])
+        rows = [(int(block[a]), mark[a:b][n[a:b] == 1].tobytes(), mark[a:b][n[a:b] > 1].tobytes()) for a, b in zip(edges, [*edges[1:], len(mark)])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "once", "again"])
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        count = np.zeros(BLOCK, np.uint8)
-        for once, again in zip(pdf["once"], pdf["again"]):
-            cell = np.frombuffer(once, "<u2")
-            count[cell] = np.minimum(count[cell] + 1, 2)
-            count[np.frombuffer(again, "<u2")] = 2
-        return pd.DataFrame({"block": [key[0]], "plane": [np.packbits(count == 2).tobytes()]})
+        once = np.frombuffer(b"".join(pdf["once"]), np.int64)
+        again = np.frombuffer(b"".join(pdf["again"]), np.int64)
+        count = np.zeros(CELLS, np.uint8)
+        for mark, n in ((once, 1), (again, 2)):
+            pair = _pair(mark)
+            for cells in (pair[:, 0], pair[:, 1][pair[:, 0] != pair[:, 1]]):
+                at, k = np.unique(cells, return_counts=True)
+                count[at] = np.minimum(count[at] + np.minimum(k, 2) * n, 2)
+        own = np.unique(np.concatenate([once, again]))
+        return pd.DataFrame({"mark": own[(count[_pair(own)] == 2).all(axis=1)]})
 
-    parts = keyed.select("digest").mapInArrow(local, "block bigint, once binary, again binary")
-    merged = parts.groupBy("block").applyInPandas(merge, "block bigint, plane binary")
-    plane = np.zeros(cells // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        plane[row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = np.frombuffer(row["plane"], np.uint8)
-    return plane.tobytes()
+    parts = marks.mapInArrow(local, "block int, once binary, again binary")
+    return parts.groupBy("block").applyInPandas(merge, "mark bigint")
 
 
 def split_repeats(df: DataFrame, record_id: str, title: str, body: str) -> DataFrame:
-    """``record_id, digest, maybe``: false where the digest surely occurs once (or is null)."""
-    keyed = cut(digests(df, record_id, title, body))
-    real = keyed.filter("digest is not null")
-    rows = max(1, real.count())
-    cells = 1 << int(np.clip(np.ceil(np.log2(rows * CELLS)), np.log2(LEAST), np.log2(MOST)))
-    plane = keyed.sparkSession.sparkContext.broadcast(repeat_plane(real, cells))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(plane.value, np.uint8)
-        for b in batches:
-            maybe = np.zeros(b.num_rows, bool)
-            has = b.column(1).is_valid().to_numpy(zero_copy_only=False)
-            if has.any():
-                at = _cells(b.column(1).drop_null(), cells)
-                maybe[has] = ((bits[at // 8] >> (7 - at % 8).astype(np.uint8)) & 1).all(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(maybe)], names=["record_id", "digest", "maybe"])
-
-    kind = keyed.schema["record_id"].dataType.simpleString()
-    return keyed.mapInArrow(mark, f"record_id {kind}, digest binary, maybe boolean")
+    """``record_id, digest, maybe``: false where the digest surely occurs once (or is null).
+
+    Nothing is broadcast but what the planner knows to be small: the possible repeats are a
+    written table, joined by their marks.
+    """
+    keyed = Cut(digests(df, record_id, title, body).withColumn("mark", F.when(F.col("digest").isNotNull(), F.xxhash64("digest"))), n=F.count("digest"))
+    blocks = max(SPREAD, -(-keyed.counts["n"] // RECORDS))
+    found = Cut(possible_repeats(keyed.rows.filter("mark is not null").select("mark"), blocks)).rows.withColumn("maybe", F.lit(True))
+    return keyed.rows.join(found, "mark", "left").select("record_id", "digest", F.coalesce("maybe", F.lit(False)).alias("maybe"))
 
 
 def copy_sets(df: DataFrame, record_id: str, title: str, body: str, singletons: bool = True) -> DataFrame:

@@ -55,11 +55,44 @@ def test_splits_keep_components_and_proportions(spark):
     assert abs(share["train"] / len(data) - 0.8) < 0.1
 
 
-def test_placing_is_stratified():
-    vectors = {f"k{i}": {"rare": 1, "common": 9} if i < 10 else {"common": 10} for i in range(100)}
-    placed = splits.place(vectors, {"a": 0.5, "b": 0.5})
-    assert sum(placed[f"k{i}"] == "a" for i in range(10)) == 5
-    assert Counter(placed.values()) == {"a": 50, "b": 50}
+def one_by_one(vectors, ratios):
+    """Iterative stratification of single components, a step for each."""
+    total = Counter()
+    for v in vectors.values():
+        total.update(v)
+    need = {s: {x: r * n for x, n in total.items()} for s, r in ratios.items()}
+    room = {s: r * sum(total.values()) for s, r in ratios.items()}
+    left, out = dict(vectors), {}
+    while left:
+        label = min((x for x in total if total[x] > 0), key=lambda x: (total[x], x))
+        for c in sorted((c for c in left if label in left[c]), key=lambda c: (-left[c][label], sorted(left[c]), [left[c][x] for x in sorted(left[c])])):
+            s = max(ratios, key=lambda s: (round(need[s][label], 6), round(room[s], 6), -list(ratios).index(s)))
+            out[c] = s
+            for x, n in left.pop(c).items():
+                need[s][x] -= n
+                room[s] -= n
+                total[x] -= n
+    return out
+
+
+def test_classes_are_placed_as_components_one_by_one(spark):
+    rnd = random.Random(9)
+    vectors = {f"k{i}": {x: rnd.randint(1, 3) for x in rnd.sample([f"l{j}" for j in range(90)], rnd.randint(1, 2))} for i in range(150)}
+    vectors |= {f"s{i}": {"a": 1} for i in range(300)} | {f"t{i}": {"a": 1, "b": 2} for i in range(80)}
+    ratios = {"x": 0.5, "y": 0.3, "z": 0.2}
+    rows = [(f"{c}-{x}-{j}", c, x) for c, v in vectors.items() for x, n in v.items() for j in range(n)]
+    found = splits.grouped_splits(spark.createDataFrame(rows, "record_id string, component string, label string"), ratios).toPandas()
+    of = dict(zip(found["component"], found["split"]))
+    shape = lambda c: tuple(sorted(vectors[c].items()))
+    want = Counter((shape(c), s) for c, s in one_by_one(vectors, ratios).items())
+    got = Counter((shape(c), s) for c, s in of.items())
+    assert len(found) == len(rows) and sum((want - got).values()) <= 3  # ties of equal need
+
+
+def test_shares():
+    assert splits.shares([8.0, 1.0, 1.0], [8, 1, 1], 1, 10) == [8, 1, 1]
+    assert sum(splits.shares([0.0, 0.0], [1, 2], 3, 10**9)) == 10**9
+    assert splits.shares([5.0, 5.0], [1, 2], 10, 1) == [0, 1]
 
 
 def test_empty(spark, rows):
