@@ -51,9 +51,8 @@ def count(texts: Counter, order: int, rows: int = 20_000, size: int = CELLS) ->
         part = items[start : start + rows]
         weights = np.array([n for _, n in part], np.int64)
         codes, at, owner = _flat([t for t, _ in part], order)
-        for pair in _grams(codes, at, order):
-            for hashes in pair:
-                table += np.bincount(hashes & (size - 1), weights[owner], size).astype(np.int64)
+        cells = np.concatenate([h & (size - 1) for pair in _grams(codes, at, order) for h in pair])
+        table += np.bincount(cells, np.tile(weights[owner], 2 * order), size).astype(np.int64)
     cells = np.flatnonzero(table)
     return cells, table[cells]
 

@@ -7,7 +7,7 @@ nothing, against natural prose that goes on or starts a clause afresh.  A value
 residue where the log-likelihood ratio of a window exceeds a margin, and is excluded where
 such windows cover enough of it.
 
-Residue that recurs would teach the natural model to expect it, so prose is counted again
+Distinct clauses are counted once, and judged once for each recount.  Residue that recurs would teach the natural model to expect it, so prose is counted again
 without the clauses found so far; labelled descriptions that read alike speak for natural
 prose.  What stands in quotation marks is mentioned (the words of a sign), so no window
 begins there.  Digits count as one, case does not count.
@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Cut
 from . import ngrams
 from .specimens import specimens
 
@@ -64,17 +66,23 @@ def segments(text: str, levels: dict[str, str]) -> list[str]:
     return [s for p in parts if (s := levels[p])]
 
 
+@cache
+def labelled_models(names: tuple[str, ...], fitted: Callable[[tuple], bool] | None = None) -> tuple[ngrams.Model, dict[str, ngrams.Model]]:
+    """The model of look-alikes and those of residue by kind, built once in each worker."""
+    texts: dict[str, Counter] = {}
+    for x in specimens(list(names)):
+        if fitted is None or fitted(x):
+            texts.setdefault(x[0], Counter()).update([x[2]])
+    alike = Counter({f" {x}{end} ": n for x, n in texts.pop("natural").items() for end in ("", ".", ",")})
+    return ngrams.model_of(alike, ORDER, WIDE), {kind: ngrams.model_of(found, ORDER, WIDE) for kind, found in texts.items()}
+
+
 class Judge:
     """The labelled models, and natural prose as counted so far."""
 
-    def __init__(self, labelled: list[tuple[str, str, str]], prose: np.ndarray) -> None:
+    def __init__(self, names: tuple[str, ...], prose: np.ndarray, fitted: Callable[[tuple], bool] | None = None) -> None:
         self.prose = ngrams.Model(np.arange(ngrams.CELLS), prose, PROSE)
-        texts: dict[str, Counter] = {}
-        for label, _, x in labelled:
-            texts.setdefault(label, Counter()).update([x])
-        alike = Counter({f" {x}{end} ": n for x, n in texts.pop("natural", Counter()).items() for end in ("", ".", ",")})
-        self.alike = ngrams.model_of(alike, ORDER, WIDE)
-        self.kinds = {kind: ngrams.model_of(found, ORDER, WIDE) for kind, found in texts.items()}
+        self.alike, self.kinds = labelled_models(names, fitted)
         self.known: dict[str, tuple[float, str, int]] = {}
 
     def natural(self, texts: list[str]) -> np.ndarray:
@@ -132,33 +140,45 @@ class Judge:
             self.known.update(zip(new[k : k + 4000], self.windows(new[k : k + 4000])))
 
 
-def counted(values: DataFrame, text: str, labelled: list[tuple[str, str, str]], before: np.ndarray | None) -> np.ndarray:
-    """The table of natural prose over all clauses of all values, or over those that are no
-    residue by the prose counted before."""
-    shared = values.sparkSession.sparkContext.broadcast(None if before is None else before.astype(np.float32))
+def clauses(values: DataFrame, text: str) -> DataFrame:
+    """``clause, n``: every distinct clause of all values, counted within partitions first."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = None if shared.value is None else Judge(labelled, shared.value)
-        found, levels, table = Counter(), Levels(), np.zeros(ngrams.CELLS, np.int64)
-
-        def flush() -> None:
-            if judge:
-                judge.learn(set(found))
-            kept = Counter({f" {s} ": n for s, n in found.items() if not judge or judge.known[s][0] < MARGIN})
-            cells, counts = ngrams.count(kept, PROSE)
-            table[cells] += counts
+        found, levels = Counter(), Levels()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["clause", "n"])
             found.clear()
+            return out
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
                     found.update(segments(t, levels))
-            if len(found) > 100_000:
-                flush()
-        flush()
+            if len(found) > REMEMBERED:
+                yield flush()
+        yield flush()
+
+    each = values.select(F.col(text)).mapInArrow(local, "clause string, n bigint").groupBy("clause").agg(F.sum("n").alias("n"))
+    return Cut(each.repartition(2 * values.sparkSession.sparkContext.defaultParallelism)).rows
+
+
+def counted(found: DataFrame, names: tuple[str, ...], before: np.ndarray | None) -> np.ndarray:
+    """The table of natural prose over all clauses, or over those that are no residue by the
+    prose counted before."""
+    shared = found.sparkSession.sparkContext.broadcast(None if before is None else before.astype(np.float32))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = None if shared.value is None else Judge(names, shared.value)
+        table = np.zeros(ngrams.CELLS, np.int64)
+        for b in batches:
+            said, n = (c.to_pylist() for c in b.columns)
+            fine = [w[0] < MARGIN for k in range(0, len(said), 4000) for w in judge.windows(said[k : k + 4000])] if judge else [True] * len(said)
+            cells, counts = ngrams.count(Counter({f" {s} ": c for s, c, ok in zip(said, n, fine) if ok}), PROSE)
+            table[cells] += counts
         yield from ngrams.packed(table)
 
-    return ngrams.gathered(values.select(F.col(text)), local, ngrams.CELLS)
+    return ngrams.gathered(found, local, ngrams.CELLS)
 
 
 def residue(values: DataFrame, key: list[str], text: str, names: list[str], margin: float = MARGIN) -> DataFrame:
@@ -167,15 +187,14 @@ def residue(values: DataFrame, key: list[str], text: str, names: list[str], marg
     ``coverage`` is the share of the value's characters inside windows above the margin.
     Null and blank values give no row; an empty table gives no rows.
     """
-    labelled = specimens(names)
-    prose = None
+    named, prose, found = tuple(names), None, clauses(values, text)
     for _ in range(1 + RECOUNTS):
-        prose = counted(values, text, labelled, prose)
+        prose = counted(found, named, prose)
     shared = values.sparkSession.sparkContext.broadcast(prose.astype(np.float32))
     kinds = {f.name: f.dataType.simpleString() for f in values.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, levels = Judge(labelled, shared.value), Levels()
+        judge, levels = Judge(named, shared.value), Levels()
         for b in batches:
             cut = [segments(t, levels) if t else () for t in b.column(len(key)).to_pylist()]
             judge.learn({s for ss in cut for s in ss})
