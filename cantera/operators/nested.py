@@ -1,9 +1,9 @@
 """Deeply nested records to related flat tables.
 
-JSON text of any shape: one Arrow pass walks each payload without recursion and emits a row
-per object with the link to its record and to the enclosing object; the merged schema is an
-aggregate of those rows, and each object path becomes a typed child table.  Typed nested
-columns stay in the JVM: every array level is one posexplode.
+JSON text of any shape is parsed once to variants; level by level objects and arrays are
+exploded into a row per object with the link to its record and to the enclosing object; the
+merged schema is an aggregate of those rows, and each object path becomes a typed child
+table.  Typed nested columns need no parsing: every array level is one posexplode.
 """
 
 from __future__ import annotations
@@ -11,13 +11,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import Cut
+
 KEYS = ("record_id", "parent_ord", "ord")
+#: So many levels are exploded round by round; what lies deeper is walked text by text.
+LEVELS = 24
 OBJECTS = "record_id bigint, table_path string, parent_path string, obj_path string, ord int, fields map<string,string>"
 
 
@@ -89,7 +94,7 @@ def _parsed(text: str):
         at = _SPACE.match(text, at).end()
 
 
-def _objects(text: str | None) -> list[tuple]:
+def _objects(text: str | None, shape: str = "", owner: str = "", path: str = "", at: int = 0) -> list[tuple]:
     """``(table_path, parent_path, obj_path, ord, fields)`` of every object below the record.
 
     The record itself comes first with path ''.  Null, blank and invalid payloads and
@@ -107,7 +112,7 @@ def _objects(text: str | None) -> list[tuple]:
     except ValueError:
         return []
     out: list[tuple] = []
-    todo = [(top, "", "", "", 0)]
+    todo = [(top, shape, path, owner, at)]
     while todo:
         value, shape, path, owner, at = todo.pop()
         if isinstance(value, dict):
@@ -127,41 +132,77 @@ def _objects(text: str | None) -> list[tuple]:
     return out
 
 
-def json_objects(df: DataFrame, record_id: str, payload: str) -> DataFrame:
-    """One row per JSON object in ``payload``: ``record_id, table_path, parent_path, obj_path,
-    ord, fields`` (scalar members as text, null members kept).
-
-    ``obj_path`` joins member names and zero-based positions by ``.``; ``table_path`` is the
-    same without positions (``decomposition[].decomposition[]``); ``ord`` is the position in
-    the enclosing array.  The record itself has path ''.
-    """
+def _walked(rest: DataFrame) -> DataFrame:
+    """The objects of texts that the parser of the JVM leaves: nested beyond its limit or beyond
+    ``LEVELS``, with a member named twice; what is no JSON gives nothing."""
     kind = pa.schema([("record_id", pa.int64()), ("table_path", pa.string()), ("parent_path", pa.string()), ("obj_path", pa.string()), ("ord", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in _objects(text)]
+            rows = [(i, *x) for i, *given in zip(*(c.to_pylist() for c in batch.columns)) for x in _objects(*given)]
             columns = list(zip(*rows)) if rows else [[] for _ in kind]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
-    return df.select(F.col(record_id).cast("bigint"), F.col(payload)).mapInArrow(walk, OBJECTS)
+    return rest.mapInArrow(walk, OBJECTS)
 
 
-def json_links(df: DataFrame, record_id: str, payload: str) -> DataFrame:
-    """``record_id, parent_path, obj_path`` of every nested object: the walk without fields."""
-    kind = pa.schema([("record_id", pa.int64()), ("parent_path", pa.string()), ("obj_path", pa.string())])
+def _as_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, owners, paths = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for shape, owner, path, _, _ in _objects(text):
-                    if shape:
-                        ids.append(i)
-                        owners.append(owner)
-                        paths.append(path)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owners, pa.string()), pa.array(paths, pa.string())], schema=kind)
-
-    return df.select(F.col(record_id).cast("bigint"), F.col(payload)).mapInArrow(walk, "record_id bigint, parent_path string, obj_path string")
+
+def _as_array(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _members(value: Column) -> Column:
+    """The scalar members of an object as text."""
+    plain = F.filter(F.map_entries(_as_object(value)), lambda e: ~F.schema_of_variant(e["value"]).rlike("^(OBJECT|ARRAY)"))
+    return F.map_from_entries(F.transform(plain, lambda e: F.struct(e["key"], F.try_variant_get(e["value"], "$", "string"))))
+
+
+def json_objects(df: DataFrame, record_id: str, payload: str) -> DataFrame:
+    """One row per JSON object in ``payload``: ``record_id, table_path, parent_path, obj_path,
+    ord, fields`` (scalar members as text, null members kept).
+
+    ``obj_path`` joins member names and zero-based positions by ``.`` and is, with the record,
+    the key of the object; ``parent_path`` that of the enclosing one; ``ord`` is the position
+    in the enclosing array; ``table_path`` is the path without positions
+    (``decomposition[].decomposition[]``).  The record itself has path ''.  Null, blank and
+    invalid payloads give no rows.
+
+    Each round explodes one level of objects and arrays into a table of its own.
+    """
+    text = F.col(payload)
+    # the parser ignores what follows a value, so a payload must be whole inside both brackets
+    whole = F.when(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull(), F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), "$.v", "variant"))
+    named = df.select(F.col(record_id).cast("bigint").alias("record_id"), text.alias("raw"), whole.alias("value"))
+    top = Cut(named.select("record_id", F.when(F.col("value").isNull() & F.col("raw").rlike(r"[{\[]"), F.col("raw")).alias("raw"), "value")).rows
+    none = F.lit("")
+    keys = ["record_id", "table_path", "parent_path", "obj_path", "ord"]
+    start = [none.alias("table_path"), none.alias("parent_path"), none.alias("obj_path"), F.lit(0).alias("ord")]
+    found = [_walked(top.filter("raw is not null").select("record_id", "raw", *start))]
+    level = top.filter("value is not null").select("record_id", *start, "value")
+    for depth in range(LEVELS + 1):
+        kept = level.withColumn("is_object", _as_object(F.col("value")).isNotNull()).filter(F.col("is_object") | _as_array(F.col("value")).isNotNull())
+        done = Cut(kept, n=F.count(F.lit(1)))
+        if not done.counts["n"]:
+            break
+        if depth == LEVELS:
+            found.append(_walked(done.rows.select("record_id", F.to_json("value").alias("raw"), "table_path", "parent_path", "obj_path", "ord")))
+            break
+        found.append(done.rows.filter("is_object").select(*keys, _members(F.col("value")).alias("fields")))
+        dot = lambda c: F.when(F.col(c) == "", "").otherwise(F.concat(c, F.lit(".")))
+        inside = done.rows.filter("is_object").select("record_id", "table_path", "obj_path", F.explode(F.map_entries(_as_object(F.col("value")))).alias("e"))
+        inside = inside.select("record_id", F.concat(dot("table_path"), "e.key").alias("table_path"), F.col("obj_path").alias("parent_path"), F.concat(dot("obj_path"), "e.key").alias("obj_path"), F.lit(0).alias("ord"), F.col("e.value").alias("value"))
+        listed = done.rows.filter("not is_object").select("record_id", "table_path", "parent_path", "obj_path", F.posexplode(_as_array(F.col("value"))).alias("ord", "value"))
+        listed = listed.select("record_id", F.concat("table_path", F.lit("[]")).alias("table_path"), "parent_path", F.concat(dot("obj_path"), "ord").alias("obj_path"), "ord", "value")
+        level = inside.unionByName(listed)
+    return reduce(DataFrame.unionByName, [f.toDF(*keys, "fields") for f in found])
+
+
+def json_links(df: DataFrame, record_id: str, payload: str) -> DataFrame:
+    """``record_id, parent_path, obj_path`` of every nested object, from the tables of the levels."""
+    return json_objects(df, record_id, payload).filter("table_path <> ''").select("record_id", "parent_path", "obj_path")
 
 
 def merged_schema(objects: DataFrame) -> DataFrame:

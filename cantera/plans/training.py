@@ -102,7 +102,7 @@ def _level(spark: SparkSession, folder: str, level: str) -> DataFrame:
     named = F.lit(_OTHERS)
     for name, paths in _LEVELS.items():
         named = F.when(F.col("table_path").rlike(paths), name).otherwise(named)
-    own = objects.withColumn("table_path", named).filter(F.col("table_path") == level)
+    own = cut(objects.withColumn("table_path", named).filter(F.col("table_path") == level))
     found = nested.child_tables(own).get(level)
     if found is None:
         found = nested.child_table(own, level, [])
