@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import md5
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Cut
 
 #: Letters of other scripts that look like Latin letters, and those letters.
 CYRILLIC, CYRILLIC_AS = "аеорсухіјѕһԁԛԝАВЕЅІЈКМНОРСТХУԚԜ", "aeopcyxijshdqwABESIJKMHOPCTXYQW"
@@ -22,10 +23,15 @@ LOOKALIKE = dict(zip(map(ord, CYRILLIC + GREEK), CYRILLIC_AS + GREEK_AS))
 VISIBLE = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<small>")
 
 
+#: The ranges of the standard's property Default_Ignorable_Code_Point.
+IGNORABLE = (
+    (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+)
+
+
 def ignorable(c: str) -> bool:
-    """Whether a character is invisible: formats, fillers, joiners and variation selectors."""
-    o = ord(c)
-    return unicodedata.category(c) == "Cf" or o in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0xFE00 <= o <= 0xFE0F or 0x180B <= o <= 0x180F or 0xE0100 <= o <= 0xE01EF
+    """Whether a character is invisible by default: joiners, fillers, marks of direction."""
+    return any(a <= ord(c) <= b for a, b in IGNORABLE)
 
 
 def visual_char(c: str) -> str:
@@ -95,20 +101,37 @@ def normalized(df: DataFrame, *columns: str, form=comparison_form) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _settled(c: str) -> bool:
+    """Whether a character looks like nothing but itself and folds as its lower case."""
+    return visual_form(c) == c and len(c.lower()) == 1 and comparison_form(c) == c.lower() and not unicodedata.combining(c)
+
+
+#: Settled characters beyond ASCII; texts of these and ASCII never leave the JVM.
+SETTLED = "".join(c for c in map(chr, [*range(0xA1, 0x180), *range(0x2010, 0x2028), *range(0x2030, 0x2050), 0x20AC]) if _settled(c))
+
+
 def _digest(text: str) -> bytes:
-    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
 
 def form_digests(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """``record_id, folded, looks, stored``: digests of the comparison form, the visual form
-    and the text itself; null and blank texts give no row."""
+    and the text itself; null and blank texts give no row.
+
+    Texts of settled characters only are their own visual form and are hashed in the JVM.
+    """
+    named = df.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(text).alias("text")).filter("text is not null")
+    blank = r"[\s\x0b\x1c-\x1f]"
+    plain = F.col("text").rlike(rf"\A[\x00-\x7f{re.escape(SETTLED)}]*\z")
+    folded = F.trim(F.regexp_replace(F.lower("text"), f"{blank}+", " "))
+    own = F.unhex(F.md5("text"))
+    known = named.filter(plain & F.col("text").rlike(r"[^\s\x0b\x1c-\x1f]")).select("record_id", F.unhex(F.md5(folded)).alias("folded"), own.alias("looks"), own.alias("stored"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t is not None]
             seen: dict[str, tuple] = {}
             out = []
-            for i, t in rows:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t not in seen:
                     looks = visual_form(t)
                     seen[t] = (_digest(comparison_form(t)), _digest(looks), _digest(t)) if looks.strip() else None
@@ -117,20 +140,29 @@ def form_digests(df: DataFrame, record_id: str, text: str) -> DataFrame:
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["record_id", "folded", "looks", "stored"])
 
-    return df.select(F.col(record_id).cast("bigint"), F.col(text)).mapInArrow(run, "record_id bigint, folded binary, looks binary, stored binary")
+    rest = named.filter(~plain).mapInArrow(run, "record_id bigint, folded binary, looks binary, stored binary")
+    return known.unionByName(rest)
+
+
+def lookalike_classes(df: DataFrame, record_id: str, text: str) -> DataFrame:
+    """``record_id, class_id, stored``: the records of each look that is stored in several ways,
+    the class being its smallest record and ``stored`` a digest of the characters.
+
+    Records meet by comparison form; an exact check on the visual form follows.
+    """
+    forms = Cut(form_digests(df, record_id, text)).rows
+    each = forms.groupBy("folded", "looks").agg(F.min("stored").alias("a"), F.max("stored").alias("b"), F.min("record_id").alias("class_id"))
+    return forms.join(each.filter("a <> b"), ["folded", "looks"]).select("record_id", "class_id", "stored")
 
 
 def lookalike_pairs(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """``record_a, record_b`` (a < b): records that look the same but are stored differently.
+    """``record_a, record_b`` (a < b): the classes expanded to all pairs stored differently.
 
-    Records meet by comparison form; an exact check on the visual form follows.  Copies
-    stored in the same characters are no pair.
+    Copies stored in the same characters are no pair.
     """
-    forms = cut(form_digests(df, record_id, text))
-    spread = forms.groupBy("folded", "looks").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).filter("a <> b").select("folded", "looks")
-    held = forms.join(spread, ["folded", "looks"])
-    other = held.select("folded", "looks", F.col("record_id").alias("record_b"), F.col("stored").alias("stored_b"))
-    return held.withColumnRenamed("record_id", "record_a").join(other, ["folded", "looks"]).filter("record_a < record_b and stored <> stored_b").select("record_a", "record_b")
+    held = Cut(lookalike_classes(df, record_id, text)).rows
+    other = held.select("class_id", F.col("record_id").alias("record_b"), F.col("stored").alias("stored_b"))
+    return held.withColumnRenamed("record_id", "record_a").join(other, "class_id").filter("record_a < record_b and stored <> stored_b").select("record_a", "record_b")
 
 
 def word_char(c: str) -> str:

@@ -15,6 +15,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return splits.related_parents(table(spark, folder, "oeb_texto"), "parent_key", "item_key")
 
 
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of each row: the smallest parent joined to it, else its item or itself."""
+    groups = splits.record_groups(table(spark, folder, "oeb_texto"), "id", "parent_key", "item_key", F.col("ud"))
+    return groups.select(F.col("record_id").alias("id"), "component")
+
+
 def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     groups = splits.record_groups(table(spark, folder, "oeb_texto"), "id", "parent_key", "item_key", F.col("ud"))
     return splits.grouped_splits(groups, RATIOS).select(F.col("record_id").alias("id"), "split")
@@ -83,11 +89,16 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("record_a").alias("doc_a"), F.col("record_b").alias("doc_b"))
 
 
+def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document of a look stored in several ways, with its class."""
+    return charforms.lookalike_classes(table(spark, folder, "documents"), "doc_id", "text").select(F.col("record_id").alias("doc_id"), "class_id")
+
+
 def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return charforms.normalized(table(spark, folder, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_collapsed, p6_found, p6_restored, p7_found, p7_excluded, p8_ids, p9_found, p9_near, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_splits, p3_found, p3_collapsed, p6_found, p6_restored, p7_found, p7_excluded, p8_ids, p9_found, p9_near, p10_found, p10_classes, p10_forms)}
 
 _CANON = r"array_to_string(list_transform(list_filter(range(1, length({s}) + 1), lambda i: regexp_matches(substr({s}, i, 1), '[\p{{L}}\p{{M}}\p{{N}}]') OR (NOT regexp_matches(substr({s}, i, 1), '[\s\p{{Z}}_]') AND i > 1 AND substr({s}, i - 1, 1) BETWEEN '0' AND '9' AND substr({s}, i + 1, 1) BETWEEN '0' AND '9')), lambda i: substr({s}, i, 1)), '')"
 
@@ -109,6 +120,16 @@ WITH RECURSIVE e AS (
   SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
 )
 SELECT x AS parent_a, y AS parent_b FROM r WHERE x < y
+""",
+    "p1_groups": """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT a.parent_key AS x, b.parent_key AS y FROM oeb_texto a JOIN oeb_texto b USING (item_key) WHERE a.parent_key <> b.parent_key
+), r AS (
+  SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), low AS (SELECT x, least(x, min(y)) AS root FROM r GROUP BY x),
+q AS (SELECT item_key, min(parent_key) AS p FROM oeb_texto WHERE parent_key IS NOT NULL AND item_key IS NOT NULL GROUP BY item_key)
+SELECT o.id, coalesce('p:' || coalesce(low.root, coalesce(o.parent_key, q.p)), 'i:' || o.item_key, 'r:' || o.id) AS component
+FROM oeb_texto o LEFT JOIN q ON o.parent_key IS NULL AND q.item_key = o.item_key LEFT JOIN low ON low.x = coalesce(o.parent_key, q.p)
 """,
     "p3_found": _COPIES + "SELECT min(item_id) AS item_id, count(*) AS n_copies FROM real GROUP BY r, t HAVING count(*) > 1",
     "p3_collapsed": _COPIES + "SELECT min(item_id) AS item_id, count(*) AS n_copies FROM real GROUP BY r, t UNION ALL SELECT item_id, 1 FROM items WHERE item_id NOT IN (SELECT item_id FROM real)",

@@ -112,6 +112,7 @@ def test_forms_that_look_alike():
     apart = ["m2", "m²", "M2", "1/2", "½", "a", "ª", "á", "à"]
     assert len({charforms.visual_form(x) for x in apart}) == len(apart)
     assert charforms.visual_form("Ω µ") == charforms.visual_form("Ω μ")
+    assert charforms.visual_form("\u0600") == "\u0600" and charforms.visual_form("a\u2065b\ufff3\U000e0000") == "ab"
     assert charforms.comparison_form(" M²\t½ ") == "m2 1⁄2"
 
 
@@ -121,6 +122,13 @@ def test_pairs_of_lookalikes(spark, rows):
     want = [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (9, 10)]
     assert rows(charforms.lookalike_pairs(df, "doc_id", "text")) == want
     assert rows(charforms.lookalike_pairs(df.filter("false"), "doc_id", "text")) == []
+    classes = rows(charforms.lookalike_classes(df, "doc_id", "text").select("record_id", "class_id"))
+    assert sorted(classes) == [(0, 0), (1, 0), (2, 0), (3, 0), (9, 9), (10, 9)]
+    plain = ["Él «niño» ÑU—x ", "\tÉl  «niño» ñu—x", "İ", "ß", "straße"]
+    both = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "doc_id bigint, text string")
+    found = {r[0]: r for r in charforms.form_digests(both, "doc_id", "text").collect()}
+    assert {i: bytes(r["folded"]) for i, r in found.items()} == {i: charforms._digest(charforms.comparison_form(t)) for i, t in enumerate(plain)}
+    assert all(bytes(r["looks"]) == charforms._digest(charforms.visual_form(plain[i])) for i, r in found.items())
     forms = charforms.normalized(df, "text").orderBy("doc_id").collect()
     assert len({r["text"] for r in forms[:5]}) == 1 and forms[5]["text"] is None and forms[6]["text"] == ""
 
