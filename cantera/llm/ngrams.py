@@ -112,8 +112,8 @@ class Model:
         self.table = np.zeros(size, np.float32)
         self.table[cells] = counts
         self.order, self.strength, self.alphabet = order, strength, alphabet
-        #: characters that the counted text uses more than by accident, where that was counted
-        self.known: set[str] | None = None
+        #: what the rarity of each character costs, where that was counted
+        self.rarity: np.ndarray | None = None
 
     def log_probs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The log probability of each character (and of each text's end) and its text."""
