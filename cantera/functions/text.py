@@ -88,3 +88,8 @@ def render_lines(text: Column) -> Column:
     """Runs of blanks and tabs as one blank in each line, lines and whole text trimmed."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r"(?U)^\s+|\s+$", ""))
     return F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "")
+
+
+def looked_up(name: Column, parameters: Column, variables: Column) -> Column:
+    """The value of a name: a parameter before a variable, '' where it is neither."""
+    return F.coalesce(F.try_element_at(parameters, name), F.try_element_at(variables, name), F.lit(""))

@@ -15,3 +15,8 @@ def document_pairs(items: DataFrame, key: str, *types: str, metadata: tuple[str,
     rows = items.select(key, *metadata, each.alias("d"))
     identity = F.md5(F.concat_ws("|", F.col(key).cast("string"), "d.type"))
     return rows.select(identity.alias("id"), key, *metadata, "d.type", "d.text")
+
+
+def flattened(documents: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Documents with their metadata as plain columns beside ``id`` and ``text``."""
+    return documents.select("id", f"{metadata}.*", "text")

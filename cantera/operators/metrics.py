@@ -28,12 +28,23 @@ def overall(hits: DataFrame) -> DataFrame:
 def single_match(hits: DataFrame, upper_median: bool = False) -> DataFrame:
     """Success@k, MRR, mean and median position of hits and the share of perfect matches.
 
-    ``upper_median`` takes the upper of two middle positions, as the prefix metric does.
+    ``upper_median`` takes the upper of two middle positions, as the prefix metric does.  All
+    come from the number of queries at each position, of which there are few.
     """
-    n, found = F.count(F.lit(1)), F.count("hit")
-    middle = F.percentile("hit", F.lit(0.5)) if not upper_median else F.element_at(F.array_sort(F.collect_list("hit")), (F.floor(found / 2) + 1).cast("int")).cast("double")
-    return hits.agg(
-        F.round(F.try_divide(found, n), 6).alias("success"), F.round(F.try_divide(F.coalesce(F.sum(1 / F.col("hit")), F.lit(0.0)), n), 6).alias("mrr"), F.round(F.avg("hit"), 6).alias("mean_position"), middle.alias("median_position"), F.round(F.try_divide(F.count_if(F.col("hit") == 1), n), 6).alias("perfect"),
+    at = hits.groupBy("hit").agg(F.count(F.lit(1)).alias("c"))
+    n, found = F.sum("c"), F.coalesce(F.sum(F.when(F.col("hit").isNotNull(), F.col("c"))), F.lit(0))
+    rows = at.agg(n.alias("n"), found.alias("found"), F.sum(F.col("c") / F.col("hit")).alias("inverse"), F.sum(F.col("c") * F.col("hit")).alias("total"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("c"))), F.lit(0)).alias("first"), F.array_sort(F.collect_list(F.when(F.col("hit").isNotNull(), F.struct("hit", "c")))).alias("places"))
+
+    def position(rank: Column) -> Column:
+        """The position of the hit of a rank (from 0) in order."""
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("hit"))
+        step = lambda a, x: F.struct((a["seen"] + x["c"]).alias("seen"), F.when(a["hit"].isNotNull(), a["hit"]).when(a["seen"] + x["c"] > rank, x["hit"].cast("double")).alias("hit"))
+        return F.aggregate("places", start, step)["hit"]
+
+    upper = position(F.floor(F.col("found") / 2))
+    middle = upper if upper_median else (upper + position(F.floor((F.col("found") - 1) / 2))) / 2
+    return rows.select(
+        F.round(F.try_divide("found", "n"), 6).alias("success"), F.round(F.try_divide(F.coalesce("inverse", F.lit(0.0)), "n"), 6).alias("mrr"), F.round(F.try_divide("total", "found"), 6).alias("mean_position"), middle.alias("median_position"), F.round(F.try_divide("first", "n"), 6).alias("perfect"),
     )
 
 

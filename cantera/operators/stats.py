@@ -47,3 +47,14 @@ def option_counts(df: DataFrame, parameters: str) -> DataFrame:
     """The rows with the sizes of their option lists and the number of combinations."""
     sizes = F.transform(parameters, lambda p: F.size(p["options"]))
     return df.withColumn("option_counts", sizes).withColumn("n_combinations", F.aggregate(sizes, F.lit(1).cast("bigint"), lambda a, x: a * x))
+
+
+def parent_counts(df: DataFrame, parent: str) -> DataFrame:
+    """``n_items, n_parents`` as one row (null is no parent)."""
+    return df.agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct(parent).alias("n_parents"))
+
+
+def item_parameters(df: DataFrame, key: str, parameters: str) -> DataFrame:
+    """``key, n_parameters, n_values``: parameters of each item and their values in all."""
+    size = F.aggregate(F.map_values(parameters), F.lit(0), lambda a, p: a + F.coalesce(F.size(p["values"]), F.lit(0)))
+    return df.select(F.col(key).alias("key"), F.coalesce(F.size(F.map_keys(parameters)), F.lit(0)).alias("n_parameters"), F.coalesce(size, F.lit(0)).alias("n_values"))

@@ -249,8 +249,8 @@ def q23_mark_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return dedupe.mark_duplicates(table(spark, folder, "items"), "resumen", "texto").select("item_id", "validation")
 
 
-@query(_COUNTED + """, x AS (SELECT 'resumen' AS field, rc AS n FROM c UNION ALL SELECT 'texto', tc FROM c UNION ALL SELECT 'either', CASE WHEN rc > 1 OR tc > 1 THEN 2 ELSE 1 END FROM c)
-SELECT field, count(*) AS n_items, count(*) FILTER (n = 1) AS n_unique, count(*) FILTER (n > 1) AS n_duplicates, round(count(*) FILTER (n > 1) / count(*), 6) AS ratio FROM x GROUP BY field""")
+@query(_COUNTED + """, x AS (SELECT 'resumen' AS field, rc AS n, rc = 1 AND tc = 1 AS ok, r AS y FROM c UNION ALL SELECT 'texto', tc, rc = 1 AND tc = 1, t FROM c UNION ALL SELECT 'either', CASE WHEN rc > 1 OR tc > 1 THEN 2 ELSE 1 END, rc = 1 AND tc = 1, '' FROM c)
+SELECT field, count(*) AS n_items, count(*) FILTER (ok) AS n_validated, count(*) FILTER (n = 1) AS n_unique, count(*) FILTER (n > 1) AS n_duplicates, CASE WHEN field <> 'either' THEN count(DISTINCT y) FILTER (n > 1) END AS n_groups, round(count(*) FILTER (n > 1) / count(*), 6) AS ratio FROM x GROUP BY field""")
 def q24_duplicate_summary(spark: SparkSession, folder: str) -> DataFrame:
     return dedupe.duplicate_summary(table(spark, folder, "items"), "resumen", "texto")
 
@@ -260,6 +260,16 @@ def q25_duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
     return dedupe.duplicate_groups(table(spark, folder, "items"), "item_id", "resumen")
 
 
+@query(_COUNTED + "SELECT md5(t) AS text_hash, item_id AS key, rc = 1 AND tc = 1 AS validation FROM c WHERE tc > 1")
+def q25_duplicate_members(spark: SparkSession, folder: str) -> DataFrame:
+    return dedupe.duplicate_members(table(spark, folder, "items"), "item_id", "texto", "resumen", "texto")
+
+
+@query(_COUNTED + ", d AS (SELECT item_id, count(*) OVER (PARTITION BY r) AS n FROM c WHERE rc > 1 OR tc > 1) SELECT item_id FROM d WHERE n = 1")
+def q25_text_only_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return dedupe.repeated_only_in(table(spark, folder, "items"), "texto", "resumen").select("item_id")
+
+
 @query(_COUNTED + "SELECT item_id, rc > 1 AS is_resumen_duplicate, tc > 1 AS is_texto_duplicate FROM c WHERE rc > 1 OR tc > 1")
 def q25_duplicate_flags(spark: SparkSession, folder: str) -> DataFrame:
     return dedupe.duplicate_flags(table(spark, folder, "items"), "resumen", "texto").select("item_id", "is_resumen_duplicate", "is_texto_duplicate")
@@ -275,6 +285,34 @@ def q27_document_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return documents.document_pairs(table(spark, folder, "items"), "item_id", "resumen", "texto", metadata=("code",))
 
 
+@query("SELECT md5(id || '|text') AS id, item_key, parent_key, ud, concept, text FROM oeb_texto")
+def q27_flat_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with nested metadata, flattened."""
+    rows = table(spark, folder, "oeb_texto").withColumnRenamed("id", "row_id")
+    pairs = documents.document_pairs(rows, "row_id", "text", metadata=("item_key", "parent_key", "ud", "concept"))
+    nested = pairs.select("id", F.struct("item_key", "parent_key", "ud", "concept").alias("metadata"), "text")
+    return documents.flattened(nested)
+
+
+@query("SELECT count(*) AS n_items, count(DISTINCT parent_key) AS n_parents FROM oeb_texto")
+def q20_parent_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.parent_counts(table(spark, folder, "oeb_texto"), "parent_key")
+
+
+@query("SELECT id AS key, coalesce(cardinality(parameters), 0)::int AS n_parameters, coalesce(list_sum(list_transform(map_values(parameters), lambda p: len(p['values']))), 0)::int AS n_values FROM oeb_texto")
+def q22_item_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.item_parameters(table(spark, folder, "oeb_texto"), "id", "parameters")
+
+
+@query("SELECT id, n.name, coalesce(CASE WHEN parameters IS NOT NULL THEN parameters[n.name].label END, CASE n.name WHEN 'A' THEN ud WHEN 'Z' THEN concept END, '') AS value FROM oeb_texto, (VALUES ('A'), ('B'), ('Z'), ('?')) n(name)")
+def q22_name_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Names as parameters first, then as variables, else empty."""
+    labels = F.transform_values("parameters", lambda k, p: p["label"])
+    own = F.create_map(F.lit("A"), F.col("ud"), F.lit("Z"), F.col("concept"))
+    rows = table(spark, folder, "oeb_texto").select("id", labels.alias("p"), own.alias("v"), F.explode(F.array(*map(F.lit, "ABZ?"))).alias("name"))
+    return rows.select("id", "name", X.looked_up(F.col("name"), F.col("p"), F.col("v")).alias("value"))
+
+
 @query(rf"SELECT doc_id, len(regexp_extract_all(translate(lower(text), '{X.ACCENTED}', '{X.PLAIN}'), '[\p{{L}}\p{{N}}_]+'))::int AS n_tokens FROM documents WHERE text IS NOT NULL")
 def q28_normalize_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter("text is not null").select("doc_id", F.size(X.plain_tokens(F.col("text"))).alias("n_tokens"))
@@ -311,7 +349,9 @@ _TOPK = (
 s AS (SELECT term, ln((any_value(n) + 1.0) / (sum(tf) + 0.5)) AS idf FROM i, n GROUP BY term),
 q0 AS (SELECT item_id AS query, unnest(regexp_extract_all(lower(resumen), '[\p{L}\p{N}_]+')) AS term FROM items WHERE item_id %% 50 = 0),
 q AS (SELECT query, term, count(*) AS qtf, any_value(qlen) AS qlen FROM q0 JOIN (SELECT query, count(*) AS qlen FROM q0 GROUP BY 1) USING (query) GROUP BY 1, 2),
-r AS (SELECT query, doc, round(sum((%s) * (%s)), 6) AS score FROM q JOIN s USING (term) JOIN i USING (term) JOIN l USING (doc), a GROUP BY 1, 2),
+r0 AS (SELECT query, doc, round(sum((%s) * (%s)), 6) AS score FROM q JOIN s USING (term) JOIN i USING (term) JOIN l USING (doc), a GROUP BY 1, 2),
+few AS (SELECT item_id AS doc FROM items ORDER BY item_id LIMIT 20),
+r AS (SELECT * FROM r0 UNION ALL SELECT x.item_id, few.doc, 0.0 FROM items x, few WHERE x.item_id %% 50 = 0 AND NOT EXISTS (SELECT 1 FROM r0 WHERE r0.query = x.item_id AND r0.doc = few.doc)),
 k AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, doc, score FROM r QUALIFY rank <= 10),
 hit AS (SELECT q.query, min(CASE WHEN doc = q.query THEN rank END) AS hit, count(rank) AS shown FROM (SELECT item_id AS query FROM items WHERE item_id %% 50 = 0) q LEFT JOIN k USING (query) GROUP BY 1)
 """
@@ -324,6 +364,13 @@ def q30_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _ranked(spark, folder)
 
 
+@query(_TOPK.replace("any_value(qlen) AS qlen", "(SELECT len FROM l ORDER BY doc LIMIT 1) AS qlen") + "SELECT query, rank::int AS rank, doc, score FROM k")
+def q30_bm25_reference_length(spark: SparkSession, folder: str) -> DataFrame:
+    """Every query taken to be as long as the corpus's first document."""
+    items = table(spark, folder, "items")
+    return retrieval.top_k(items, "item_id", "texto", items.filter("item_id % 50 = 0"), "item_id", "resumen", 10, query_length="reference")
+
+
 def _hits(spark: SparkSession, folder: str) -> DataFrame:
     asked = table(spark, folder, "items").filter("item_id % 50 = 0").select(F.col("item_id").alias("query"))
     return metrics.first_hits(_ranked(spark, folder), asked, F.col("doc") == F.col("query"))
@@ -353,18 +400,21 @@ def q33_metrics_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.single_match(metrics.first_hits(ranked, asked, F.left("code", F.lit(6)) == F.left("query_code", F.lit(6))), upper_median=True)
 
 
-_PERTURB = """CASE item_id % 4 WHEN 0 THEN resumen WHEN 1 THEN replace(resumen, ' ', '  ') WHEN 2 THEN '"' || replace(resumen, ',', ',"') ELSE resumen || ' x' END"""
+_LEFT = """CASE WHEN item_id % 5 = 4 THEN resumen || ' a >= 5, b <= 3, c = 2' ELSE resumen END"""
+_PERTURB = """CASE item_id % 5 WHEN 0 THEN resumen WHEN 1 THEN replace(resumen, ' ', '  ') WHEN 2 THEN '"' || replace(resumen, ',', ',"') WHEN 3 THEN resumen || ' x' ELSE resumen || ' a >== 5, b <=== 3, c == "2"' END"""
+_UNDONE = f"trim(regexp_replace(regexp_replace(regexp_replace(replace(§, '\"', ''), '([<>])=+', '\\1=', 'g'), '(^|[^<>=])=+', '\\1=', 'g'), '{_SPACE}', ' ', 'g'))"
 
 
 @query(rf"""
-WITH a AS (SELECT item_id AS k, coalesce(resumen, '') AS a FROM items WHERE item_id % 10 <> 0), b AS (SELECT item_id AS k, coalesce({_PERTURB}, '') AS b FROM items WHERE item_id % 7 <> 0),
+WITH a AS (SELECT item_id AS k, coalesce({_LEFT}, '') AS a FROM items WHERE texto IS NOT NULL), b AS (SELECT item_id AS k, coalesce({_PERTURB}, '') AS b FROM items WHERE code IS NOT NULL AND resumen IS NOT NULL),
   c AS (SELECT a.k AS ka, b.k AS kb, a, b, trim(regexp_replace(a, '{_SPACE}', ' ', 'g')) AS ca, trim(regexp_replace(b, '{_SPACE}', ' ', 'g')) AS cb FROM a FULL OUTER JOIN b USING (k))
-SELECT CASE WHEN kb IS NULL THEN 'only_left' WHEN ka IS NULL THEN 'only_right' WHEN a = b THEN 'exact' WHEN ca = cb THEN 'whitespace' WHEN trim(regexp_replace(replace(ca, '"', ''), '{_SPACE}', ' ', 'g')) = trim(regexp_replace(replace(cb, '"', ''), '{_SPACE}', ' ', 'g')) THEN 'corruption' ELSE 'other' END AS class, count(*) AS n FROM c GROUP BY 1
+SELECT CASE WHEN kb IS NULL THEN 'only_left' WHEN ka IS NULL THEN 'only_right' WHEN a = b THEN 'exact' WHEN ca = cb THEN 'whitespace' WHEN {_UNDONE.replace("§", "ca")} = {_UNDONE.replace("§", "cb")} THEN 'corruption' ELSE 'other' END AS class, count(*) AS n FROM c GROUP BY 1
 """)
 def q34_reconcile_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Items with a long text against perturbed short texts of items that have one."""
     items = table(spark, folder, "items")
-    left = items.filter("item_id % 10 <> 0").select("item_id", "resumen")
-    right = items.filter("item_id % 7 <> 0").select("item_id", F.expr(_PERTURB).alias("resumen"))
+    left = items.filter("texto is not null").select("item_id", F.expr(_LEFT).alias("resumen"))
+    right = items.filter("code is not null and resumen is not null").select("item_id", F.expr(_PERTURB).alias("resumen"))
     return reconcile.summary(reconcile.classify(left, right, "item_id", "resumen"))
 
 
