@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import Cut
 from .charforms import words
-from .store import stored
 
-#: The most words of passages that the driver takes (a held-out set, not a corpus).
+#: So many words of passages the driver takes at once; more are searched in parts.
 MOST_WORDS = 2_000_000
 #: So many candidate documents are broadcast to thin out the index (8 MB); more are joined.
 FEW_HOLDERS = 1_000_000
@@ -32,17 +33,26 @@ FEW_HOLDERS = 1_000_000
 STRETCH, PAIRS = 4096, 4_000_000
 
 
+def in_parts(passages: DataFrame, passage_id: str, text: str) -> list[DataFrame]:
+    """The passages in parts of about ``MOST_WORDS`` words, by a hash of their id.
+
+    A match concerns one passage, so the parts' matches together are all matches.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(words(t)) for t in b.column(0).to_pylist() if t)], pa.int64())], names=["n"])
+
+    total = passages.select(text).mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0
+    n = -(-total // MOST_WORDS) or 1
+    part = F.pmod(F.xxhash64(F.col(passage_id)), F.lit(n))
+    return [passages] if n == 1 else [passages.filter(part == k) for k in range(n)]
+
+
 def passage_terms(passages: DataFrame, passage_id: str, text: str) -> dict[int, list[str]]:
     """The words of each passage; null and empty ones are left out."""
-    out, total = {}, 0
-    for row in passages.select(passage_id, text).toLocalIterator():
-        found = words(row[1]) if row[1] else []
-        total += len(found)
-        if total > MOST_WORDS:
-            raise ValueError(f"the passages have more than {MOST_WORDS} words; give them in parts")
-        if found:
-            out[row[0]] = found
-    return out
+    rows = passages.select(passage_id, text).toLocalIterator()
+    return {r[0]: found for r in rows if r[1] and (found := words(r[1]))}
 
 
 def postings(df: DataFrame, record_id: str, text: str, terms: dict[str, int]) -> DataFrame:
@@ -207,13 +217,19 @@ def matches(df: DataFrame, record_id: str, text: str, passages: DataFrame, passa
     differ between two agreeing stretches, whichever words they are; ``n_words`` counts the
     agreeing ones.  Null and empty texts match nothing.
     """
+    parts = [_matches(df, record_id, text, p, passage_id, passage_text, run, gap) for p in in_parts(passages, passage_id, passage_text)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _matches(df: DataFrame, record_id: str, text: str, passages: DataFrame, passage_id: str, passage_text: str, run: int, gap: int) -> DataFrame:
+    """The matches of one part of the passages."""
     spark = df.sparkSession
     spelled = passage_terms(passages, passage_id, passage_text)
     terms = {w: k for k, w in enumerate(sorted({w for found in spelled.values() for w in found}))}
     coded = {p: [terms[w] for w in found] for p, found in spelled.items()}
     if gap:
         return near_matches(df, record_id, text, coded, terms, run, gap)
-    index = stored(postings(df, record_id, text, terms), "postings")
+    index = Cut(postings(df, record_id, text, terms)).rows
     frequency = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.sum(F.size("positions")).alias("n")).toLocalIterator()}
     windows = anchors(coded, frequency, run)
     columns = "passage_id bigint, term1 int, place1 int, term2 int, place2 int, term3 int, place3 int"
@@ -225,7 +241,7 @@ def matches(df: DataFrame, record_id: str, text: str, passages: DataFrame, passa
     found = first.withColumn("at", F.col("pos") - F.col("place1"))
     for k in (2, 3):
         found = _agreeing(found, index, k, {w[2 * k - 1] for w in windows})
-    starts = stored(found.select("doc_id", "passage_id", "at").distinct(), "starts")
+    starts = Cut(found.select("doc_id", "passage_id", "at").distinct()).rows
     holders = starts.select("doc_id").distinct()
     if holders.limit(FEW_HOLDERS + 1).count() <= FEW_HOLDERS:
         index = index.join(F.broadcast(holders), "doc_id", "left_semi")

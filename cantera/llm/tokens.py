@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,12 @@ class ByteBpe:
         return [np.concatenate([known[w] for w in p]) if p else none for p in parts]
 
 
+@cache
+def vocabulary_at(path: str) -> ByteBpe:
+    """The encoder of a rank file, read once in each worker."""
+    return ByteBpe(path)
+
+
 def encoded(df: DataFrame, record_id: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """``record_id, ids``: the token ids of each text, without special tokens.
 
@@ -88,7 +95,7 @@ def encoded(df: DataFrame, record_id: str, text: str, vocabulary: str = "byte_bp
     path = os.path.join(folder, f"{vocabulary}.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = ByteBpe(path), {}
+        model, known = vocabulary_at(path), {}
         for b in batches:
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)

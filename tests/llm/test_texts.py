@@ -3,7 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from cantera.llm import charforms, encodings, leakage, ngrams, residue, tokens
+from cantera.llm import charforms, encodings, leakage, ngrams, tokens
 
 PLAIN = "Canalización enterrada bajo calzada, con señalización y báculo de 3 m²; montaje según dirección técnica en túnel de línea, marca Größwerk."
 
@@ -62,6 +62,15 @@ def test_leaks_match_brute_force(spark, rows):
     assert leakage.matches(d, "doc_id", "text", p.filter("false"), "passage_id", "text").collect() == []
 
 
+def test_passages_in_parts_give_the_same(spark, rows, monkeypatch):
+    p = spark.createDataFrame([(k, f"uno dos tres {'abcdefghij'[k]}") for k in range(10)] + [(20, None)], "passage_id bigint, text string")
+    d = spark.createDataFrame([(k, f"x uno dos tres {'abcdefghij'[k % 10]} y") for k in range(30)], "doc_id bigint, text string")
+    want = rows(leakage.matches(d, "doc_id", "text", p, "passage_id", "text"))
+    monkeypatch.setattr(leakage, "MOST_WORDS", 15)
+    assert len(leakage.in_parts(p, "passage_id", "text")) == 3 and len(want) == 30
+    assert rows(leakage.matches(d, "doc_id", "text", p, "passage_id", "text")) == want
+
+
 def near(docs, passages, run, gap):
     out = {}
     for d, t in docs:
@@ -159,19 +168,6 @@ def test_misread_values_come_back(spark):
     assert encodings.misread(df.filter("false"), ["row_id"], "value").collect() == []
 
 
-def test_residue_and_its_doubles(spark):
-    rnd = random.Random(9)
-    parts = ["Suministro de tubería", "montaje de cuadro en galería", "con parte proporcional de piezas", "Color: verde", "Espesor: 12 cm", "medida la unidad", "cartel con el texto «Acceso denegado»", "placa [A-3]", "bornes {A1, A2}", "dosificación 3 % B", "coste orientativo 3 $ por metro", "navegador de menús en el panel"]
-    clean = [", ".join(rnd.choice(parts) for _ in range(5)) + "." for _ in range(1200)]
-    bad = ["Lorem ipsum dolor sit amet.", "404 Not Found", "Acceso denegado. No tiene permisos para ver este recurso.", "Montaje de {{ item.color }} cuadro", "Color: <<color>>", "Espesor: $B mm", "Active JavaScript en su navegador para ver este contenido", "Suministro de tubería, Habilite los scripts para continuar!", "Color: [indicar color]", "???", "Espesor: NaN m", "<title>Forbidden</title>", "SU NAVEGADOR NO ADMITE SCRIPTS O ESTÁN DESACTIVADOS."]
-    data = [(k, t) for k, t in enumerate(clean)] + [(2000 + k, t) for k, t in enumerate(bad)] + [(3000, None), (3001, ""), (3002, " \n;"), (3003, "Suministro de tubería, " * 5000)]
-    df = spark.createDataFrame(data, "item_id bigint, value string")
-    found = {r["item_id"]: r for r in residue.residue(df, ["item_id"], "value", ["Color", "Espesor"]).collect()}
-    assert set(found) == set(range(2000, 2000 + len(bad)))
-    assert found[2001]["coverage"] > 0.8 > found[2007]["coverage"]
-    assert residue.residue(df.filter("false"), ["item_id"], "value", []).collect() == []
-
-
 def test_model_probabilities_sum_below_one():
     from collections import Counter
 
