@@ -28,9 +28,8 @@ def key_counts(weighted: DataFrame) -> DataFrame:
 
 def key_modes(weighted: DataFrame) -> DataFrame:
     """``key_value, mode, mode_n``: the commonest non-null value, the smallest among ties."""
-    best = weighted.filter("item is not null").select("key_value", "item", "n")
-    top = best.groupBy("key_value").agg(F.max("n").alias("mode_n"))
-    return best.join(top, "key_value").filter("n = mode_n").groupBy("key_value").agg(F.min("item").alias("mode"), F.first("mode_n").alias("mode_n"))
+    found = weighted.filter("item is not null").groupBy("key_value")
+    return found.agg(F.min_by("item", F.struct(-F.col("n"), "item")).alias("mode"), F.max("n").alias("mode_n"))
 
 
 def key_percentiles(weighted: DataFrame, fractions: list[float]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Lines stay arrays: a percentage line needs the rounded amounts before it, so each item is a
 fold over its own short array, without a shuffle.  Compositions are priced level by level,
-each level a join with the prices known so far.
+each level a table of its own, joined with the prices known so far.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_percentage, percentage_prefix
-from ..session import cut
+from ..session import Cut, cut
 
 MONEY = "decimal(18,6)"
 #: Decimals of quantities, amounts, prices and totals unless a catalogue says otherwise.
@@ -82,9 +82,8 @@ def priced_concepts(concepts: DataFrame, decompositions: DataFrame, decimals: di
     warning = F.when(~F.col("known"), F.array(F.concat(F.lit("unknown concept "), "code_key"))).when(F.col("declared").isNull() & ~is_percentage(F.col("code_key")), F.array(F.concat(F.col("code_key"), F.lit(" has no price")))).otherwise(none)
     done = cut(every.filter("not composed").select("code_key", "unit", "summary", "type", F.coalesce("declared", F.lit(0)).cast(MONEY).alias("price"), warning.alias("warnings")))
     waiting = every.filter("composed")
-    total = every.count()
-    before = done.count()
-    while True:
+    left = waiting.count()
+    while left:
         todo = waiting.join(done.select("code_key"), "code_key", "left_anti")
         lines = live.join(todo.select(F.col("code_key").alias("parent_key")), "parent_key", "left_semi")
         found = lines.join(done.withColumnRenamed("code_key", "child_key"), "child_key", "left")
@@ -97,10 +96,9 @@ def priced_concepts(concepts: DataFrame, decompositions: DataFrame, decimals: di
         message = F.concat(F.col("code_key"), F.lit(": computed price "), F.col("price").cast(f"decimal(18,{decimals['DC']})").cast("string"), F.lit(" differs from declared price "), F.col("declared").cast("string"))
         own = F.filter(F.transform("lines", lambda x: x["warning"]), lambda w: w.isNotNull())
         level = priced.join(waiting, "code_key").select("code_key", "unit", "summary", "type", "price", F.concat(own, F.when(differs, F.array(message)).otherwise(none)).alias("warnings"))
-        done = cut(done.unionByName(level))
-        now = done.count()
-        if now in (before, total):
+        level = Cut(level, n=F.count(F.lit(1)))
+        if not level.counts["n"]:
             break
-        before = now
+        done, left = done.unionByName(level.rows), left - level.counts["n"]
     stuck = every.join(done.select("code_key"), "code_key", "left_anti").select("code_key", "unit", "summary", "type", F.lit(None).cast(MONEY).alias("price"), none.alias("warnings"), F.concat(F.lit("decomposition cycle at "), "code_key").alias("error"))
     return done.withColumn("error", F.lit(None).cast("string")).unionByName(stuck)
