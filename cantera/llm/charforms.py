@@ -106,8 +106,9 @@ def _settled(c: str) -> bool:
     return visual_form(c) == c and len(c.lower()) == 1 and comparison_form(c) == c.lower() and not unicodedata.combining(c)
 
 
-#: Settled characters beyond ASCII; texts of these and ASCII never leave the JVM.
-SETTLED = "".join(c for c in map(chr, [*range(0xA1, 0x180), *range(0x2010, 0x2028), *range(0x2030, 0x2050), 0x20AC]) if _settled(c))
+#: Settled characters beyond ASCII (Latin 1 and the usual dashes and quotes); texts of these
+#: and ASCII never leave the JVM.
+SETTLED = "".join(c for c in map(chr, [*range(0xA1, 0x100), 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x20AC]) if _settled(c))
 
 
 def _digest(text: str) -> bytes:
@@ -121,17 +122,20 @@ def form_digests(df: DataFrame, record_id: str, text: str) -> DataFrame:
     Texts of settled characters only are their own visual form and are hashed in the JVM.
     """
     named = df.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(text).alias("text")).filter("text is not null")
-    blank = r"[\s\x0b\x1c-\x1f]"
+    blank = r"\s\x0b\x1c-\x1f"
     plain = F.col("text").rlike(rf"\A[\x00-\x7f{re.escape(SETTLED)}]*\z")
-    folded = F.trim(F.regexp_replace(F.lower("text"), f"{blank}+", " "))
-    own = F.unhex(F.md5("text"))
-    known = named.filter(plain & F.col("text").rlike(r"[^\s\x0b\x1c-\x1f]")).select("record_id", F.unhex(F.md5(folded)).alias("folded"), own.alias("looks"), own.alias("stored"))
+    folded = F.trim(F.regexp_replace(F.lower("text"), f"[{blank}]+", " "))
+    own = F.when(plain, F.unhex(F.md5("text")))
+    rows = named.select("record_id", F.when(plain, F.unhex(F.md5(folded))).alias("folded"), own.alias("looks"), F.when(~plain, F.col("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            done = b.filter(pc.is_valid(b.column(1)))
+            yield pa.RecordBatch.from_arrays([*done.columns[:3], done.column(2)], names=["record_id", "folded", "looks", "stored"])
+            rest = b.filter(pc.is_null(b.column(1)))
             seen: dict[str, tuple] = {}
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, t in zip(rest.column(0).to_pylist(), rest.column(3).to_pylist()):
                 if t not in seen:
                     looks = visual_form(t)
                     seen[t] = (_digest(comparison_form(t)), _digest(looks), _digest(t)) if looks.strip() else None
@@ -140,8 +144,8 @@ def form_digests(df: DataFrame, record_id: str, text: str) -> DataFrame:
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["record_id", "folded", "looks", "stored"])
 
-    rest = named.filter(~plain).mapInArrow(run, "record_id bigint, folded binary, looks binary, stored binary")
-    return known.unionByName(rest)
+    # a blank text folds to nothing
+    return rows.filter("text is not null or folded <> unhex(md5(''))").mapInArrow(run, "record_id bigint, folded binary, looks binary, stored binary")
 
 
 def lookalike_classes(df: DataFrame, record_id: str, text: str) -> DataFrame:
