@@ -1,10 +1,15 @@
 import itertools
+import math
+import random
+import re
+from collections import Counter
 
 import pytest
 
 from cantera.functions import text as X
 from cantera.operators import dedupe, metrics, reconcile, retrieval
 from cantera.plans import catalogue, expand
+from cantera.session import Cut
 from pyspark.sql import functions as F
 
 
@@ -26,6 +31,54 @@ def test_ranking_with_either_query_length(spark):
     assert [r["doc"] for r in retrieval.top_k(docs, "d", "t", asked, "q", "t", 1).collect()] == [1]
 
 
+def _ranking(docs, asked, k):
+    """Query, rank and document by scoring every pair."""
+    words = {d: Counter(re.findall(r"\w+", (t or "").lower())) for d, t in docs}
+    size = {d: sum(c.values()) for d, c in words.items()}
+    cf, mean = sum(words.values(), Counter()), sum(size.values()) / len(docs)
+    weight = lambda t, tf, n: math.log((len(docs) + 1) / (cf[t] + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))
+    for q, text in asked:
+        own = Counter(re.findall(r"\w+", (text or "").lower()))
+        scores = {d: round(sum(weight(t, n, sum(own.values())) * weight(t, c[t], size[d]) for t, n in own.items() if t in c), 6) for d, c in words.items()}
+        for rank, d in enumerate(sorted(scores, key=lambda d: (-scores[d], d))[:k], 1):
+            yield q, rank, d
+
+
+@pytest.mark.parametrize("part, block, common", [(500_000, 1 << 22, 256), (60, 300, 2), (200, 1, 0)])
+def test_ranking_sends_few_pairs_and_all_of_the_best(spark, monkeypatch, part, block, common):
+    rnd = random.Random(3)
+    shares = [1 / (k + 1) for k in range(60)]
+    docs = [(f"d{k:03}", " ".join(["de"] * rnd.randrange(4) + [f"w{x}" for x in rnd.choices(range(60), shares, k=rnd.randrange(12))])) for k in range(300)]
+    docs += [("e1", None), ("e2", ""), *((f"f{k}", "w1 w2 w3 de") for k in range(30))]
+    asked = [(k, " ".join(f"w{x}" for x in rnd.choices(range(62), [*shares, 0.1, 0.1], k=rnd.randrange(1, 8))) + " de") for k in range(50)] + [(50, None), (51, "w61"), (52, "w1 w2 w3 de")]
+    monkeypatch.setattr(retrieval, "PART", part)
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    monkeypatch.setattr(retrieval, "COMMON", common)
+    sent = []
+
+    def watched(df, **aggregates):
+        made = Cut(df, **aggregates)
+        if "doc" in df.columns:
+            sent.append(made.rows.count())
+        return made
+
+    monkeypatch.setattr(retrieval, "Cut", watched)
+    some = docs if block > 1 else docs[:20] + docs[-5:]
+    found = retrieval.top_k(spark.createDataFrame(some, "d string, t string").repartition(2), "d", "t", spark.createDataFrame(asked, "q int, t string"), "q", "t", 10)
+    assert sorted((r["query"], r["rank"], r["doc"]) for r in found.collect()) == list(_ranking(some, asked, 10))
+    pairs = sum(1 for _, text in asked for _, d in some if set((text or "").split()) & set((d or "").split()))
+    assert sum(sent) < pairs / (4 if block > 1000 else 1)
+
+
+def test_ranking_of_nothing(spark):
+    docs, none = spark.createDataFrame([(2, None), (1, "")], "d int, t string"), spark.createDataFrame([], "d int, t string")
+    asked = spark.createDataFrame([(7, "a b"), (8, None)], "q int, t string")
+    for length in ("self", "reference"):
+        ranked = lambda c, q: [(r["query"], r["rank"], r["doc"], r["score"]) for r in retrieval.top_k(c, "d", "t", q, "q", "t", 5, length).orderBy("query", "rank").collect()]  # noqa: B023, E731
+        assert ranked(docs, asked) == [(7, 1, 1, 0.0), (7, 2, 2, 0.0), (8, 1, 1, 0.0), (8, 2, 2, 0.0)]
+        assert ranked(none, asked) == [] == ranked(docs, asked.limit(0))
+
+
 def test_metrics(spark):
     ranks = spark.createDataFrame([(q, k, f"{q}{k}") for q in "abc" for k in (1, 2, 3)], "query string, rank int, doc string")
     asked = spark.createDataFrame([("a", "a1"), ("b", "b3"), ("c", "no")], "query string, gold string")
