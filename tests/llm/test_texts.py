@@ -168,6 +168,29 @@ def test_misread_values_come_back(spark):
     assert encodings.misread(df.filter("false"), ["row_id"], "value").collect() == []
 
 
+def test_margin_is_validated_on_every_word(spark):
+    import numpy as np
+
+    rnd = random.Random(9)
+    letters = "abcdeiloprstuáéíóúñ¾Ã"
+    words = {w: 3 for w in ("canalización", "canalizaci¾n", "µm")} | {"ñ" + "".join(rnd.choices(letters, k=9)): rnd.randrange(1, 4) for _ in range(4300)}
+    words["canalización"] = 90
+    df = spark.createDataFrame([(" ".join(ws),) for w, n in words.items() for ws in [[w] * n]], "value string")
+    model, counted = encodings.train(df.repartition(3), "value")
+    known = {r["word"]: r["n"] for r in counted.rows.collect()}
+    assert len(known) > 4000
+    assert all(words[w] == n for w, n in known.items())
+    runs = encodings._Runs()
+    clean = [w for w, n in known.items() if n > 1]
+    best = encodings.best_chains(clean, model, runs)
+    gain = [0.0 if b is None or known.get(encodings._candidates(w, runs)[b[0]], 0) > encodings.GARBLED * known[w] else b[1] for w, b in zip(clean, best)]
+    for least, most in ((1.5, 12.0), (0.5, 40.0)):
+        found = [b[1] if b else 0.0 for b in encodings.best_chains(encodings._spoiled([w for w, g in zip(clean, gain) if g < least]), model, runs)]
+        errors = {m: sum(f < m for f in found) / len(found) + sum(g >= m for g in gain) / len(gain) for m in np.arange(least, most, 0.5)}
+        assert encodings.validate(counted.rows, model, least, most) == min(errors, key=errors.get)
+    assert encodings.validate(counted.rows.filter("false"), model) == 6.75
+
+
 def test_model_probabilities_sum_below_one():
     from collections import Counter
 
