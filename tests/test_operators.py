@@ -70,6 +70,17 @@ def test_ranking_sends_few_pairs_and_all_of_the_best(spark, monkeypatch, part, b
     assert sum(sent) < pairs / (4 if block > 1000 else 1)
 
 
+#: Queries on a ranking: what they return is worked out from few candidates that are written before.
+RANKED = ["q30_bm25_reference_length", "q31_metrics_single"]
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_queries_on_a_ranking_join_no_words(spark, small, name):
+    found = catalogue.QUERIES[name](spark, small)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 0
+
+
 def test_ranking_of_nothing(spark):
     docs, none = spark.createDataFrame([(2, None), (1, "")], "d int, t string"), spark.createDataFrame([], "d int, t string")
     asked = spark.createDataFrame([(7, "a b"), (8, None)], "q int, t string")
