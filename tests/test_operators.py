@@ -71,7 +71,7 @@ def test_ranking_sends_few_pairs_and_all_of_the_best(spark, monkeypatch, part, b
 
 
 #: Queries on a ranking: what they return is worked out from few candidates that are written before.
-RANKED = ["q30_bm25_reference_length", "q31_metrics_single", "q32_metrics_overall", "q31_position_distribution", "q33_metrics_prefix"]
+RANKED = ["q30_bm25_reference_length", "q31_metrics_single", "q32_metrics_overall", "q31_position_distribution", "q33_metrics_prefix", "q30_bm25_topk"]
 
 
 @pytest.mark.parametrize("name", RANKED)
